@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from decisionlake.session import cut
+
 GRAM = 3
 
 
@@ -48,7 +50,8 @@ def contains_join(texts: DataFrame, needles: DataFrame, text_keys: list[str], ne
 
     postings = t.select(*scope, *tk, F.explode(F.array_distinct(
         F.filter(_pieces(F.col("__text"), sep), lambda p: p != ""))).alias("__tok"))
-    vocab = postings.groupBy(*scope, "__tok").agg(F.count(F.lit(1)).alias("__df"))
+    vocab = cut(postings.groupBy(*scope, "__tok").agg(F.count(F.lit(1)).alias("__df")))
+    parts = cut(parts)
 
     # 1. whole pieces: the rarest of them; one that is in no text rules the needle out
     exact = (parts.where(F.size("__inner") > 0)
@@ -60,23 +63,23 @@ def contains_join(texts: DataFrame, needles: DataFrame, text_keys: list[str], ne
     # 2. edge pieces only: vocabulary entries that hold the longest piece
     edge = parts.where((F.size("__inner") == 0) & F.col("__long").isNotNull())
     wanted = edge.select(*scope, F.col("__long").alias("__piece")).distinct()
-    entries = []
-    for g in range(1, GRAM + 1):
-        own = F.length("__piece") >= GRAM if g == GRAM else F.length("__piece") == g
-        asked = wanted.where(own).withColumn("__g", F.explode(_grams(F.col("__piece"), g)))
-        table = vocab.select(*scope, "__tok", F.explode(_grams(F.col("__tok"), g)).alias("__g"))
-        table = table.join(asked.select(*scope, "__g").distinct(), [*scope, "__g"], "left_semi")
-        freq = table.groupBy(*scope, "__g").agg(F.count(F.lit(1)).alias("__gf"))
-        probe = (asked.join(freq, [*scope, "__g"], "left").groupBy(*scope, "__piece")
-                 .agg(F.min_by("__g", F.coalesce("__gf", F.lit(0))).alias("__g")))
-        entries.append(probe.join(table, [*scope, "__g"])
-                       .where(F.contains("__tok", "__piece"))
-                       .select(*scope, "__piece", "__tok"))
-    hits = entries[0].unionByName(entries[1]).unionByName(entries[2]).distinct()
+    # gram size of a piece: GRAM, or its own length when shorter
+    wanted = wanted.withColumn("__size", F.least(F.length("__piece"), F.lit(GRAM)))
+    asked = wanted.withColumn("__g", F.explode(F.when(F.col("__size") == 1, _grams(F.col("__piece"), 1))
+                                               .when(F.col("__size") == 2, _grams(F.col("__piece"), 2))
+                                               .otherwise(_grams(F.col("__piece"), GRAM))))
+    grams = F.concat(*[_grams(F.col("__tok"), g) for g in range(1, GRAM + 1)])
+    table = (vocab.select(*scope, "__tok", F.explode(grams).alias("__g"))
+             .join(asked.select(*scope, "__g").distinct(), [*scope, "__g"], "left_semi"))
+    freq = table.groupBy(*scope, "__g").agg(F.count(F.lit(1)).alias("__gf"))
+    probe = (asked.join(freq, [*scope, "__g"], "left").groupBy(*scope, "__piece")
+             .agg(F.min_by("__g", F.coalesce("__gf", F.lit(0))).alias("__g")))
+    hits = (probe.join(table, [*scope, "__g"]).where(F.contains("__tok", "__piece"))
+            .select(*scope, "__piece", "__tok").distinct())
     loose = (edge.select(*scope, *nk, F.col("__long").alias("__piece"))
              .join(hits, [*scope, "__piece"]).select(*scope, *nk, "__tok"))
 
-    probes = exact.unionByName(loose)
+    probes = cut(exact.unionByName(loose))
     asked = postings.join(probes.select(*scope, "__tok").distinct(), [*scope, "__tok"], "left_semi")
     pairs = asked.join(probes, [*scope, "__tok"]).select(*scope, *tk, *nk).distinct()
     verified = (pairs.join(n, [*scope, *nk]).join(t, [*scope, *tk])

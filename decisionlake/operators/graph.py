@@ -1,7 +1,7 @@
 """Supersession graph: chain ends by pointer doubling, cycles, broken chains.
 
-All iterations take log2(longest chain) rounds; each round is one join of the still-open rows with the
-pointer table, cut by a reliable checkpoint. Nodes are keyed by (lib, rec_id).
+All iterations take a logarithmic number of rounds in the longest chain; each round joins the still-open
+rows with the pointer table and is cut by a reliable checkpoint. Nodes are keyed by (lib, rec_id).
 """
 
 from __future__ import annotations
@@ -62,9 +62,13 @@ def _double(state: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         jump = closed.unionByName(active).select(
             "lib", F.col("rec_id").alias("ptr"), F.col("ptr").alias("ptr2"),
             F.col("hops").alias("hops2"), F.col("open").alias("open2"))
-        step = cut(active.join(jump, ["lib", "ptr"]).select(
-            "lib", "rec_id", F.col("ptr2").alias("ptr"),
-            (F.col("hops") + F.col("hops2")).alias("hops"), F.col("open2").alias("open")))
+        step = active
+        for _ in range(3):        # three hops of the same length: the reach grows fourfold per round
+            step = step.join(jump, ["lib", "ptr"]).select(
+                "lib", "rec_id", F.when(F.col("open"), F.col("ptr2")).otherwise(F.col("ptr")).alias("ptr"),
+                (F.col("hops") + F.when(F.col("open"), F.col("hops2")).otherwise(0)).alias("hops"),
+                (F.col("open") & F.col("open2")).alias("open"))
+        step = cut(step)
         closed = closed.unionByName(step.where("not open"))
         active = step.where("open")
     raise RuntimeError("supersession chains did not converge")
@@ -77,9 +81,12 @@ def _cycle_labels(ring: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         other = state.select("lib", F.col("rec_id").alias("ptr"), F.col("ptr").alias("ptr2"),
                              F.col("low").alias("low2"))
-        state = cut(state.join(other, ["lib", "ptr"]).select(
-            "lib", "rec_id", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low"),
-            (F.col("low2") < F.col("low")).alias("moved")))
+        step = state.withColumn("moved", F.lit(False))
+        for _ in range(3):
+            step = step.join(other, ["lib", "ptr"]).select(
+                "lib", "rec_id", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low"),
+                (F.col("moved") | (F.col("low2") < F.col("low"))).alias("moved"))
+        state = cut(step)
         if state.where("moved").isEmpty():
             sizes = state.groupBy("lib", "low").agg(F.count(F.lit(1)).alias("cycle_len"))
             return state.join(sizes, ["lib", "low"]).select(
@@ -324,9 +331,12 @@ def invalid_chains(records: DataFrame, resolved: DataFrame) -> DataFrame:
     span = 1
     while span <= top:
         other = state.select("lib", F.col("rec_id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("reason").alias("reason2"))
-        state = cut(state.join(other, ["lib", "ptr"], "left").select(
-            "lib", "rec_id", F.col("ptr2").alias("ptr"), F.coalesce("reason", "reason2").alias("reason")))
-        span *= 2
+        step = state
+        for _ in range(3):
+            step = step.join(other, ["lib", "ptr"], "left").select(
+                "lib", "rec_id", F.col("ptr2").alias("ptr"), F.coalesce("reason", "reason2").alias("reason"))
+        state = cut(step)
+        span *= 4
     bearing = records.where(F.size(tx.parse_aliases(F.col("aliases"))) > 0).select("lib", "rec_id").distinct()
     looping = resolved.where("terminal = 'cycle'").select("lib", "rec_id", F.lit("supersede cycle").alias("loop"))
     return (bearing.join(state, ["lib", "rec_id"]).join(looping, ["lib", "rec_id"], "left")

@@ -16,7 +16,7 @@ DIMS = ["urgent", "routine"]
 
 
 def records(spark, d):
-    return P(spark, d, "f_records")
+    return cut(P(spark, d, "f_records"))
 
 
 _CHAINS = """

@@ -86,7 +86,9 @@ SELECT 'lib' || CAST(entity % 4 AS STRING) AS lib, lower(label) AS type, label,
        CASE WHEN (base + pos) % 11 = 0 THEN 'c' || CAST((base + pos) % 3000 AS STRING) ELSE '' END AS evidence_for,
        CASE WHEN (base + pos) % 11 = 0 THEN 'screenshot: src/o' || CAST((base + pos) % 20000 AS STRING)
             || '.py; video:../x.mp4' ELSE '' END AS evidence_artifacts,
-       'See ' || {_rid('((base + pos) * 3 + 1)')} || ' for entity ' || CAST(entity AS STRING) || '.' AS prose,
+       'See ' || {_rid('((base + pos) * 3 + 1)')} || ' for entity ' || CAST(entity AS STRING) || '.'
+       || CASE WHEN (base + pos) % 17 = 0 THEN ' Compare entity ' || CAST(entity AS STRING)
+            || CASE WHEN dimension = 'urgent' THEN ' routine: v' ELSE ' urgent: v' END || CAST(entity % 11 AS STRING) || '.' ELSE '' END AS prose,
        entity, dimension, value, pos, n
 FROM f_numbered
 """
@@ -158,6 +160,22 @@ SELECT 'lib' || CAST(l_orderkey % 4 AS STRING) AS lib, 'c' || CAST(l_orderkey %
 FROM {lineitem} GROUP BY 1, 2, 3
 """
 
+PROJECTIONS["f_change_list"] = """
+SELECT lib, change_id AS change_key, CASE WHEN CAST(substr(change_id, 2) AS BIGINT) % 7 = 0 THEN NULL ELSE change_id END AS change_id
+FROM (SELECT DISTINCT lib, change_id FROM f_changes) x
+UNION ALL SELECT 'lib' || CAST(s_suppkey % 4 AS STRING), 'e' || CAST(s_suppkey AS STRING), 'e' || CAST(s_suppkey AS STRING) FROM {supplier}
+"""
+
+PROJECTIONS["f_diffs"] = """
+SELECT 'lib' || CAST(l_orderkey % 4 AS STRING) AS lib, CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS change_key,
+       CASE (l_orderkey + l_linenumber) % 3
+         WHEN 0 THEN 'diff --git a/src/o' || CAST(l_partkey AS STRING) || '.py b/src/o' || CAST(l_partkey AS STRING) || '.py' || chr(10)
+              || '--- /dev/null' || chr(10) || '+++ b/src/o' || CAST(l_partkey AS STRING) || '.py' || chr(9) || '2026' || chr(10) || '@@ -0,0 +1 @@' || chr(10) || '+x'
+         WHEN 1 THEN 'src/./o' || CAST(l_partkey AS STRING) || '.py' || chr(10) || '"web/a b.ts"' || chr(10) || 'src//o' || CAST(l_partkey AS STRING) || '.py' || chr(10)
+         ELSE '/etc/o' || CAST(l_suppkey AS STRING) || chr(10) || 'b/../up.py' END AS diff
+FROM {lineitem}
+"""
+
 # transcripts
 PROJECTIONS["f_messages"] = """
 SELECT conv_id AS unit_id,
