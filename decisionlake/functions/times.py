@@ -29,8 +29,9 @@ def first_ts(obj: Column) -> Column:
     candidates = []
     for prefix in ("$", "$.payload", "$.payload.payload"):
         for key in TS_KEYS:
-            candidates.append(normalize_ts(F.try_variant_get(obj, f"{prefix}.{key}", "string")))
-    return F.coalesce(*candidates)
+            candidates.append(F.try_variant_get(obj, f"{prefix}.{key}", "string"))
+    parsed = F.transform(F.array_compact(F.array(*candidates)), normalize_ts)
+    return F.get(F.filter(parsed, lambda t: t.isNotNull()), 0)
 
 
 def iso_day(value: Column) -> Column:

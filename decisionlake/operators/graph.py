@@ -95,7 +95,7 @@ def _cycle_labels(ring: DataFrame) -> DataFrame:
 
 
 def _walk_table(pointers: DataFrame) -> DataFrame:
-    """(lib, rec_id, endpoint, depth, terminal) for a table (lib, rec_id, next_id, terminal)."""
+    """(lib, rec_id, endpoint, depth, terminal, cycle_id) for a table (lib, rec_id, next_id, terminal)."""
     pointers = cut(pointers)
     start = pointers.select("lib", "rec_id", F.coalesce("next_id", "rec_id").alias("ptr"),
                             F.when(F.col("next_id").isNotNull(), 1).otherwise(0).cast("bigint").alias("hops"),
@@ -107,7 +107,8 @@ def _walk_table(pointers: DataFrame) -> DataFrame:
     closed, looping = _double(start)
     reasons = pointers.select("lib", F.col("rec_id").alias("ptr"), "terminal")
     out = closed.join(reasons, ["lib", "ptr"]).select(
-        "lib", "rec_id", F.col("ptr").alias("endpoint"), F.col("hops").alias("depth"), "terminal")
+        "lib", "rec_id", F.col("ptr").alias("endpoint"), F.col("hops").alias("depth"), "terminal",
+        F.lit(None).cast("string").alias("cycle_id"))
     if looping is None:
         return out
     # cycle nodes become chain ends of their own; the rows that lead to them are walked again
@@ -117,9 +118,9 @@ def _walk_table(pointers: DataFrame) -> DataFrame:
     flagged = loop_next.join(rings.select("lib", "rec_id", F.lit(True).alias("ring")), ["lib", "rec_id"], "left")
     tails = flagged.select("lib", "rec_id", F.when(F.col("ring").isNull(), F.col("next_id")).alias("next_id"),
                            F.lit("cycle").alias("terminal"))
-    entry = _walk_table(tails)
-    cyclic = entry.join(rings.select("lib", F.col("rec_id").alias("endpoint"), "cycle_len"), ["lib", "endpoint"]).select(
-        "lib", "rec_id", "endpoint", (F.col("depth") + F.col("cycle_len")).alias("depth"), F.lit("cycle").alias("terminal"))
+    entry = _walk_table(tails).drop("cycle_id")
+    cyclic = entry.join(rings.select("lib", F.col("rec_id").alias("endpoint"), "cycle_id", "cycle_len"), ["lib", "endpoint"]).select(
+        "lib", "rec_id", "endpoint", (F.col("depth") + F.col("cycle_len")).alias("depth"), F.lit("cycle").alias("terminal"), "cycle_id")
     return out.unionByName(cyclic)
 
 
@@ -129,7 +130,7 @@ def resolve_current(records: DataFrame) -> DataFrame:
     ``depth`` is the number of records walked; terminal is live, missing, ambiguous or cycle. On a cycle
     the endpoint is the first record met twice and the walk holds all of the cycle.
     """
-    return _walk_table(_pointers(records))
+    return _walk_table(_pointers(records)).drop("cycle_id")
 
 
 def resolve_walk(records: DataFrame, resolved: DataFrame, only: DataFrame | None = None) -> DataFrame:
@@ -203,11 +204,8 @@ def supersede_cycles(edges: DataFrame) -> DataFrame:
         F.when(F.col("out").isNull(), "sink").when(F.col("out") > 1, "fork").alias("terminal")))
     walks = cut(_walk_table(pointers))
     # the endpoint of a looping walk is its entry, so every ring node is the endpoint of its own walk
-    ring_nodes = walks.where("terminal = 'cycle' and endpoint = rec_id").select("lib", "rec_id")
-    found = loops
-    if not ring_nodes.isEmpty():
-        rings = _cycle_labels(ring_nodes.join(pointers, ["lib", "rec_id"]).select("lib", "rec_id", "next_id"))
-        found = found.unionByName(rings.select("lib", "rec_id", "cycle_id"))
+    rings = walks.where("terminal = 'cycle' and endpoint = rec_id").select("lib", "rec_id", "cycle_id")
+    found = loops.unionByName(rings)
     forks = pointers.where("terminal = 'fork'").select("lib", "rec_id")
     if forks.isEmpty():
         return found.groupBy("lib", "rec_id").agg(F.min("cycle_id").alias("cycle_id"))

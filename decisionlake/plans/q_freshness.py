@@ -273,7 +273,7 @@ def library_health(spark, d):
 
 # --- gates -----------------------------------------------------------------------------------
 @query("changed_paths", twin("""
-SELECT lib, change_key, path, error FROM (
+SELECT DISTINCT lib, change_key, path, error FROM (
   SELECT lib, change_key, split_part(split_part(diff, ' b/', 2), chr(10), 1) AS path, false AS error FROM f_diffs WHERE diff LIKE 'diff%'
   UNION ALL SELECT lib, change_key, replace(split_part(diff, chr(10), 1), './', ''), false FROM f_diffs WHERE diff LIKE 'src%'
   UNION ALL SELECT lib, change_key, 'web/a b.ts', false FROM f_diffs WHERE diff LIKE 'src%'

@@ -21,17 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError(f"set {_KEY} to a folder shared by all executors")
         conf = tempfile.mkdtemp(prefix="decisionlake-")
         spark.conf.set(_KEY, conf)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(conf)
     return conf
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: ends the lineage of an iteration and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def staging_path(spark: SparkSession, name: str) -> str:
     """A new, unused folder below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage of an iteration: writes a table to the shared folder and reads it back.
+
+    Survives lost executors, and the next plan starts from the table's real size instead of an estimate
+    multiplied over every earlier join.
+    """
+    spark = df.sparkSession
+    path = staging_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

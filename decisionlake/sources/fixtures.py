@@ -188,8 +188,8 @@ FROM {conversations}
 """
 
 PROJECTIONS["f_kept"] = """
-SELECT unit_id, agent, pos, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, ts_s, cwd FROM f_messages
-WHERE role IN ('user', 'assistant') AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''
+SELECT unit_id, agent, pos, role, trim(BOTH ' ' || chr(9) || chr(10) || chr(13) FROM text) AS text, ts_s, cwd FROM f_messages
+WHERE role IN ('user', 'assistant') AND trim(BOTH ' ' || chr(9) || chr(10) || chr(13) FROM text) <> ''
 """
 
 PROJECTIONS["f_sessions"] = """
