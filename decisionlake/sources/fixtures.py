@@ -256,13 +256,14 @@ FROM f_numbered GROUP BY 1, 2, 3, 4
 """
 
 PROJECTIONS["f_answers"] = """
-SELECT CASE sample % 2 WHEN 0 THEN 'raw' ELSE 'resolve' END AS arm, tier, sample, probe_id,
-       CASE WHEN h % 4 = 0 THEN 'V' || CAST(h % 11 AS STRING) WHEN h % 19 = 1 THEN '' ELSE 'uses ' || current_value || ' today' END AS current_value,
-       CASE WHEN h % 3 = 0 THEN 'none' ELSE 'was ' || COALESCE(replaced_value, 'v0') END AS replaced_value
-FROM (SELECT g.probe_id, g.current_value, g.replaced_value, s.sample, s.tier,
-             (g.probe_id * 31 + s.sample * 17 + CASE WHEN s.tier = 'small' THEN 5 ELSE 0 END) AS h
-      FROM f_gold g JOIN (SELECT DISTINCT CAST(r_regionkey AS BIGINT) AS sample,
-                                 CASE WHEN r_regionkey < 3 THEN 'small' ELSE 'mid' END AS tier, 1 AS one FROM {region}) s
+SELECT arm, tier, sample, probe_id,
+       CASE WHEN h % q = 0 THEN 'V' || CAST(h % 11 AS STRING) WHEN h % 19 = 1 THEN '' ELSE 'uses ' || current_value || ' today' END AS current_value,
+       CASE WHEN h % 3 = 0 THEN 'none' ELSE 'was ' || COALESCE(replaced_value, 'v0') END AS replaced_value, h
+FROM (SELECT g.probe_id, g.current_value, g.replaced_value, s.arm, s.sample, s.tier, s.q,
+             (g.probe_id * 31 + s.sample * 17 + s.q * 7 + CASE WHEN s.tier = 'small' THEN 5 ELSE 0 END) AS h
+      FROM f_gold g JOIN (SELECT CASE n_nationkey % 4 WHEN 0 THEN 'raw' WHEN 1 THEN 'flat' WHEN 2 THEN 'retrieval' ELSE 'resolve' END AS arm,
+                                 CAST(FLOOR(n_nationkey / 8) AS BIGINT) AS sample, CASE WHEN n_nationkey % 8 < 4 THEN 'small' ELSE 'mid' END AS tier,
+                                 n_nationkey % 4 + 3 AS q, 1 AS one FROM {nation} WHERE n_nationkey < 24) s
         ON s.one = 1) x
 """
 
