@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TEXT_TYPES = ("text", "input_text", "output_text", "reasoning_text")
@@ -27,6 +27,11 @@ def bind(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that later filters and projections read instead of repeating its expression."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def _cut(text: Column, max_chars: int) -> Column:
     marker = lambda t: F.concat(F.lit("\n…[truncated "), (F.length(t) - max_chars).cast("string"), F.lit(" chars]"))
     return bind(text, lambda t: F.when(

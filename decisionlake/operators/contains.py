@@ -1,9 +1,10 @@
 """Substring join without a nested loop over all pairs.
 
-Texts are cut at a separator. A piece of the needle that has separators on both sides must be a whole
-piece of any text that holds the needle, so the join is an equi-join on the needle's rarest such piece.
-A needle without one is looked up in the vocabulary of pieces first, by its rarest short gram, and then
-joins on the vocabulary entries that hold its longest piece. Every candidate is verified on the full text.
+Texts are cut into pieces at a separator. If a text holds a needle of several pieces, then each inner
+piece of the needle is a whole piece of the text, its first piece ends one and its last piece starts one;
+a needle of one piece lies inside one. So every needle is looked up in the vocabulary of pieces (which is
+small next to the texts), the piece with the fewest postings is chosen, and texts and needles meet in an
+equi-join on it. Every candidate is verified on the full text.
 """
 
 from __future__ import annotations
@@ -11,13 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from decisionlake.functions.content import once
 from decisionlake.session import cut
 
 GRAM = 3
-
-
-def _pieces(text: Column, sep: str) -> Column:
-    return F.split(text, sep)
+KEY = 64          # longest key looked up in the vocabulary; a longer piece is probed by its end
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -26,13 +25,45 @@ def _grams(text: Column, size: int) -> Column:
     return F.when(n >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
+def _key(role: str, key: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), key.alias("key"))
+
+
+def _needle_keys(pieces: Column) -> Column:
+    """(role, key) of every non-empty piece: exact, suffix, prefix, or inside for a lone piece."""
+    n = F.size(pieces)
+    keys = F.transform(pieces, lambda p, i: F.when(n == 1, _key("inside", F.left(p, F.lit(KEY))))
+                       .when(i == 0, _key("suffix", F.right(p, F.lit(KEY))))
+                       .when(i == n - 1, _key("prefix", F.left(p, F.lit(KEY))))
+                       .otherwise(_key("exact", p)))
+    return F.array_distinct(F.filter(keys, lambda k: k["key"] != ""))
+
+
+def _vocab_keys(tok: Column) -> Column:
+    ends = F.sequence(F.lit(1), F.least(F.length(tok), F.lit(KEY)))
+    return F.concat(F.array(_key("exact", tok)), F.transform(ends, lambda k: _key("suffix", F.right(tok, k))),
+                    F.transform(ends, lambda k: _key("prefix", F.left(tok, k))))
+
+
+def _inside_hits(vocab: DataFrame, asked: DataFrame, scope: list[str]) -> DataFrame:
+    """Vocabulary entries that hold a lone piece, found by the piece's rarest gram."""
+    size = F.least(F.length("key"), F.lit(GRAM))
+    grams = F.when(size == 1, _grams(F.col("key"), 1)).when(size == 2, _grams(F.col("key"), 2)).otherwise(_grams(F.col("key"), GRAM))
+    want = asked.where("role = 'inside'").select(*scope, "key", F.explode(grams).alias("g"))
+    table = (vocab.select(*scope, "__tok", "__df", F.explode(F.concat(*[_grams(F.col("__tok"), s) for s in range(1, GRAM + 1)])).alias("g"))
+             .join(want.select(*scope, "g").distinct(), [*scope, "g"], "left_semi"))
+    freq = table.groupBy(*scope, "g").agg(F.count(F.lit(1)).alias("n"))
+    probe = want.join(freq, [*scope, "g"], "left").groupBy(*scope, "key").agg(F.min_by("g", F.coalesce("n", F.lit(0))).alias("g"))
+    return probe.join(table, [*scope, "g"]).where(F.contains("__tok", "key")).select(
+        *scope, F.lit("inside").alias("role"), "key", "__tok", "__df").distinct()
+
+
 def contains_join(texts: DataFrame, needles: DataFrame, text_keys: list[str], needle_keys: list[str],
                   text: str = "text", needle: str = "needle", scope: list[str] | None = None,
                   sep: str = r"\s+") -> DataFrame:
-    """Pairs (text_keys, needle_keys) in the same scope where the text holds the needle.
+    """Pairs (scope, text_keys, needle_keys) where the text holds the needle.
 
-    ``scope`` columns are on both sides (and part of both key lists or not); an empty needle matches
-    every text of its scope.
+    ``scope`` columns are on both sides and must be equal; an empty needle matches every text of its scope.
     """
     scope = scope or []
     tk = [c for c in text_keys if c not in scope]
@@ -40,56 +71,31 @@ def contains_join(texts: DataFrame, needles: DataFrame, text_keys: list[str], ne
     t = texts.select(*scope, *tk, F.col(text).alias("__text"))
     n = needles.select(*scope, *nk, F.col(needle).alias("__needle"))
 
-    parts = n.withColumn("__p", _pieces(F.col("__needle"), sep))
-    size = F.size("__p")
-    inner = F.filter(F.slice("__p", 2, F.greatest(size - 2, F.lit(0))), lambda p: p != "")
-    parts = parts.withColumn("__inner", inner)
-    longest = F.array_max(F.transform(F.filter("__p", lambda p: p != ""),
-                                      lambda p: F.struct(F.length(p).alias("l"), p.alias("p"))))["p"]
-    parts = parts.withColumn("__long", longest)
-
     postings = t.select(*scope, *tk, F.explode(F.array_distinct(
-        F.filter(_pieces(F.col("__text"), sep), lambda p: p != ""))).alias("__tok"))
+        F.filter(F.split("__text", sep), lambda p: p != ""))).alias("__tok"))
     vocab = cut(postings.groupBy(*scope, "__tok").agg(F.count(F.lit(1)).alias("__df")))
-    parts = cut(parts)
-
-    # 1. whole pieces: the rarest of them; one that is in no text rules the needle out
-    exact = (parts.where(F.size("__inner") > 0)
-             .select(*scope, *nk, F.explode("__inner").alias("__tok"))
-             .join(vocab, [*scope, "__tok"], "left")
-             .groupBy(*scope, *nk)
-             .agg(F.min_by("__tok", F.coalesce("__df", F.lit(0))).alias("__tok")))
-
-    # 2. edge pieces only: vocabulary entries that hold the longest piece
-    edge = parts.where((F.size("__inner") == 0) & F.col("__long").isNotNull())
-    wanted = edge.select(*scope, F.col("__long").alias("__piece")).distinct()
-    # gram size of a piece: GRAM, or its own length when shorter
-    wanted = wanted.withColumn("__size", F.least(F.length("__piece"), F.lit(GRAM)))
-    asked = wanted.withColumn("__g", F.explode(F.when(F.col("__size") == 1, _grams(F.col("__piece"), 1))
-                                               .when(F.col("__size") == 2, _grams(F.col("__piece"), 2))
-                                               .otherwise(_grams(F.col("__piece"), GRAM))))
-    grams = F.concat(*[_grams(F.col("__tok"), g) for g in range(1, GRAM + 1)])
-    table = (vocab.select(*scope, "__tok", F.explode(grams).alias("__g"))
-             .join(asked.select(*scope, "__g").distinct(), [*scope, "__g"], "left_semi"))
-    freq = table.groupBy(*scope, "__g").agg(F.count(F.lit(1)).alias("__gf"))
-    probe = (asked.join(freq, [*scope, "__g"], "left").groupBy(*scope, "__piece")
-             .agg(F.min_by("__g", F.coalesce("__gf", F.lit(0))).alias("__g")))
-    hits = (probe.join(table, [*scope, "__g"]).where(F.contains("__tok", "__piece"))
-            .select(*scope, "__piece", "__tok").distinct())
-    loose = (edge.select(*scope, *nk, F.col("__long").alias("__piece"))
-             .join(hits, [*scope, "__piece"]).select(*scope, *nk, "__tok"))
-
-    probes = cut(exact.unionByName(loose))
-    asked = postings.join(probes.select(*scope, "__tok").distinct(), [*scope, "__tok"], "left_semi")
-    pairs = asked.join(probes, [*scope, "__tok"]).select(*scope, *tk, *nk).distinct()
+    parts = cut(once(n, "__keys", _needle_keys(F.split("__needle", sep))))
+
+    options = parts.select(*scope, *nk, F.explode("__keys").alias("k")).select(*scope, *nk, "k.role", "k.key")
+    asked = options.select(*scope, "role", "key").distinct()
+    listed = vocab.select(*scope, "__tok", "__df", F.explode(_vocab_keys(F.col("__tok"))).alias("k")).select(
+        *scope, "__tok", "__df", "k.role", "k.key")
+    hits = listed.join(asked, [*scope, "role", "key"]).select(*scope, "role", "key", "__tok", "__df")
+    hits = cut(hits.unionByName(_inside_hits(vocab, asked, scope)))
+    cost = hits.groupBy(*scope, "role", "key").agg(F.sum("__df").alias("cost"))
+    # a piece that is in no text has cost 0 and no hits: its needle matches nothing
+    chosen = options.join(cost, [*scope, "role", "key"], "left").groupBy(*scope, *nk).agg(
+        F.min_by(F.struct("role", "key"), F.coalesce("cost", F.lit(0))).alias("k")).select(*scope, *nk, "k.role", "k.key")
+    probes = cut(chosen.join(hits, [*scope, "role", "key"]).select(*scope, *nk, "__tok"))
+
+    pairs = postings.join(probes, [*scope, "__tok"]).select(*scope, *tk, *nk).distinct()
     verified = (pairs.join(n, [*scope, *nk]).join(t, [*scope, *tk])
                 .where(F.contains("__text", "__needle")).select(*scope, *tk, *nk))
 
-    # 3. empty or separator-only needles: nothing to index, the scope itself is the candidate set
-    bare = parts.where(F.col("__long").isNull()).select(*scope, *nk, "__needle")
-    if scope:
-        every = t.join(bare, scope)
-    else:
-        every = (t.withColumn("__one", F.lit(1)).join(bare.withColumn("__one", F.lit(1)), "__one"))
-    every = every.where(F.contains("__text", "__needle")).select(*scope, *tk, *nk)
+    # empty or separator-only needles: nothing to look up, the scope itself is the candidate set
+    bare = parts.where(F.size("__keys") == 0).select(*scope, *nk, "__needle")
+    on = scope
+    if not scope:
+        t, bare, on = t.withColumn("__one", F.lit(1)), bare.withColumn("__one", F.lit(1)), ["__one"]
+    every = t.join(bare, on).where(F.contains("__text", "__needle")).select(*scope, *tk, *nk)
     return verified.unionByName(every)

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decisionlake import config
-from decisionlake.functions.content import kind
+from decisionlake.functions.content import kind, once
 from decisionlake.functions.times import normalize_ts
 
 
 def _parsed(items: DataFrame) -> DataFrame:
-    return items.withColumn("v", F.try_parse_json("item"))
+    return once(items, "v", F.try_parse_json("item"))
 
 
 def _sub(key: str) -> Column:
@@ -69,7 +69,7 @@ def _errors(allow_sensitive: bool) -> Column:
 def validate_signals(items: DataFrame, allow_sensitive: bool = False) -> DataFrame:
     """Signals with their error list: (batch_id, idx, item, errors). Good rows have none; the others are the
     quarantine."""
-    return _parsed(items).withColumn("errors", _errors(allow_sensitive)).drop("v")
+    return once(_parsed(items), "errors", _errors(allow_sensitive)).drop("v")
 
 
 def signal_errors(validated: DataFrame) -> DataFrame:

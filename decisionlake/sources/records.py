@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from decisionlake import config
 from decisionlake.functions import text as tx
+from decisionlake.functions.content import once
 
 H1 = r"^#\s+(\w+)\s+(\d+)\s*[—–-]+\s*(.+?)\s*$"
 FRONT = r"^-\s+([A-Za-z][A-Za-z ]*?):\s*(.*)$"
@@ -29,15 +30,15 @@ def parse_records(raw_docs: DataFrame) -> DataFrame:
     The first non-blank line must be a heading ``# LABEL N - title``; frontmatter is the ``- Key: value``
     lines from there to the first ``## `` section.
     """
-    d = raw_docs.withColumn("lines", _lines(F.col("text")))
+    d = once(raw_docs, "lines", _lines(F.col("text")))
     d = d.withColumn("h1", F.get(F.filter("lines", lambda l: F.trim(l) != ""), F.lit(0)))
     d = d.withColumn("parsed", F.coalesce(F.col("h1").rlike(H1), F.lit(False)))
     d = d.withColumn("after", F.slice("lines", F.array_position("lines", F.col("h1")).cast("int") + 1, F.size("lines")))
     stops = F.filter(F.transform("after", lambda l, i: F.when(l.startswith("## "), i)), lambda i: i.isNotNull())
-    d = d.withColumn("front", F.when(F.size(stops) > 0, F.slice("after", 1, F.get(stops, F.lit(0)))).otherwise(F.col("after")))
+    d = once(d, "front", F.when(F.size(stops) > 0, F.slice("after", 1, F.get(stops, F.lit(0)))).otherwise(F.col("after")))
     pairs = F.transform(F.filter("front", lambda l: l.rlike(FRONT)), lambda l: F.struct(
         F.trim(F.regexp_extract(l, FRONT, 1)).alias("k"), F.trim(F.regexp_extract(l, FRONT, 2)).alias("v")))
-    d = d.withColumn("pairs", pairs)
+    d = once(d, "pairs", pairs)
     keys = F.array_distinct(F.transform("pairs", lambda p: p["k"]))
     kept = F.filter(keys, lambda k: F.lower(k) != "aliases")
     field_text = F.array_join(F.transform(kept, lambda k: _last(F.col("pairs"), k)), " ")
@@ -57,18 +58,18 @@ def rejects(parsed: DataFrame) -> DataFrame:
 def parse_run_records(raw_docs: DataFrame) -> DataFrame:
     """raw_docs (path, text) -> (path, run_no, title, fields, error). Strict: the heading is line 1 with
     exactly four digits, and any other line before the first section is an error."""
-    d = raw_docs.withColumn("lines", _lines(F.col("text")))
+    d = once(raw_docs, "lines", _lines(F.col("text")))
     d = d.withColumn("h1", F.get("lines", F.lit(0)))
     ok = F.col("h1").rlike(RUN_H1)
     d = d.withColumn("after", F.filter(F.slice("lines", F.lit(2), F.size("lines")), lambda l: F.trim(l) != ""))
     stops = F.filter(F.transform("after", lambda l, i: F.when(l.startswith("## "), i)), lambda i: i.isNotNull())
-    d = d.withColumn("front", F.when(F.size(stops) > 0, F.slice("after", 1, F.get(stops, F.lit(0)))).otherwise(F.col("after")))
+    d = once(d, "front", F.when(F.size(stops) > 0, F.slice("after", 1, F.get(stops, F.lit(0)))).otherwise(F.col("after")))
     bad = F.get(F.filter("front", lambda l: ~l.rlike(RUN_FIELD)), F.lit(0))
     error = (F.when(F.col("text") == "", "missing_h1").when(~ok, "malformed_h1")
              .when(bad.isNotNull(), F.concat(F.lit("malformed_frontmatter_line:"), bad)))
     d = d.withColumn("error", error)
     pairs = F.transform("front", lambda l: F.struct(F.regexp_extract(l, RUN_FIELD, 1).alias("k"), F.regexp_extract(l, RUN_FIELD, 2).alias("v")))
-    d = d.withColumn("pairs", pairs)
+    d = once(d, "pairs", pairs)
     keys = F.array_distinct(F.transform("pairs", lambda p: p["k"]))
     fields = F.map_from_entries(F.transform(keys, lambda k: F.struct(k, _last(F.col("pairs"), k))))
     good = F.col("error").isNull()
