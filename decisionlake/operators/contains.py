@@ -26,7 +26,7 @@ def _grams(text: Column, size: int) -> Column:
 
 
 def _key(role: str, key: Column) -> Column:
-    return F.struct(F.lit(role).alias("role"), key.alias("key"))
+    return F.struct(F.lit(role).alias("__role"), key.alias("__key"))
 
 
 def _needle_keys(pieces: Column) -> Column:
@@ -36,7 +36,7 @@ def _needle_keys(pieces: Column) -> Column:
                        .when(i == 0, _key("suffix", F.right(p, F.lit(KEY))))
                        .when(i == n - 1, _key("prefix", F.left(p, F.lit(KEY))))
                        .otherwise(_key("exact", p)))
-    return F.array_distinct(F.filter(keys, lambda k: k["key"] != ""))
+    return F.array_distinct(F.filter(keys, lambda k: k["__key"] != ""))
 
 
 def _vocab_keys(tok: Column) -> Column:
@@ -47,15 +47,15 @@ def _vocab_keys(tok: Column) -> Column:
 
 def _inside_hits(vocab: DataFrame, asked: DataFrame, scope: list[str]) -> DataFrame:
     """Vocabulary entries that hold a lone piece, found by the piece's rarest gram."""
-    size = F.least(F.length("key"), F.lit(GRAM))
-    grams = F.when(size == 1, _grams(F.col("key"), 1)).when(size == 2, _grams(F.col("key"), 2)).otherwise(_grams(F.col("key"), GRAM))
-    want = asked.where("role = 'inside'").select(*scope, "key", F.explode(grams).alias("g"))
-    table = (vocab.select(*scope, "__tok", "__df", F.explode(F.concat(*[_grams(F.col("__tok"), s) for s in range(1, GRAM + 1)])).alias("g"))
-             .join(want.select(*scope, "g").distinct(), [*scope, "g"], "left_semi"))
-    freq = table.groupBy(*scope, "g").agg(F.count(F.lit(1)).alias("n"))
-    probe = want.join(freq, [*scope, "g"], "left").groupBy(*scope, "key").agg(F.min_by("g", F.coalesce("n", F.lit(0))).alias("g"))
-    return probe.join(table, [*scope, "g"]).where(F.contains("__tok", "key")).select(
-        *scope, F.lit("inside").alias("role"), "key", "__tok", "__df").distinct()
+    size = F.least(F.length("__key"), F.lit(GRAM))
+    grams = F.when(size == 1, _grams(F.col("__key"), 1)).when(size == 2, _grams(F.col("__key"), 2)).otherwise(_grams(F.col("__key"), GRAM))
+    want = asked.where("__role = 'inside'").select(*scope, "__key", F.explode(grams).alias("__g"))
+    table = (vocab.select(*scope, "__tok", "__df", F.explode(F.concat(*[_grams(F.col("__tok"), s) for s in range(1, GRAM + 1)])).alias("__g"))
+             .join(want.select(*scope, "__g").distinct(), [*scope, "__g"], "left_semi"))
+    freq = table.groupBy(*scope, "__g").agg(F.count(F.lit(1)).alias("__n"))
+    probe = want.join(freq, [*scope, "__g"], "left").groupBy(*scope, "__key").agg(F.min_by("__g", F.coalesce("__n", F.lit(0))).alias("__g"))
+    return probe.join(table, [*scope, "__g"]).where(F.contains("__tok", "__key")).select(
+        *scope, F.lit("inside").alias("__role"), "__key", "__tok", "__df").distinct()
 
 
 def contains_join(texts: DataFrame, needles: DataFrame, text_keys: list[str], needle_keys: list[str],
@@ -76,17 +76,17 @@ def contains_join(texts: DataFrame, needles: DataFrame, text_keys: list[str], ne
     vocab = cut(postings.groupBy(*scope, "__tok").agg(F.count(F.lit(1)).alias("__df")))
     parts = cut(once(n, "__keys", _needle_keys(F.split("__needle", sep))))
 
-    options = parts.select(*scope, *nk, F.explode("__keys").alias("k")).select(*scope, *nk, "k.role", "k.key")
-    asked = options.select(*scope, "role", "key").distinct()
-    listed = vocab.select(*scope, "__tok", "__df", F.explode(_vocab_keys(F.col("__tok"))).alias("k")).select(
-        *scope, "__tok", "__df", "k.role", "k.key")
-    hits = listed.join(asked, [*scope, "role", "key"]).select(*scope, "role", "key", "__tok", "__df")
+    options = parts.select(*scope, *nk, F.explode("__keys").alias("__k")).select(*scope, *nk, "__k.__role", "__k.__key")
+    asked = options.select(*scope, "__role", "__key").distinct()
+    listed = vocab.select(*scope, "__tok", "__df", F.explode(_vocab_keys(F.col("__tok"))).alias("__k")).select(
+        *scope, "__tok", "__df", "__k.__role", "__k.__key")
+    hits = listed.join(asked, [*scope, "__role", "__key"]).select(*scope, "__role", "__key", "__tok", "__df")
     hits = cut(hits.unionByName(_inside_hits(vocab, asked, scope)))
-    cost = hits.groupBy(*scope, "role", "key").agg(F.sum("__df").alias("cost"))
+    cost = hits.groupBy(*scope, "__role", "__key").agg(F.sum("__df").alias("__cost"))
     # a piece that is in no text has cost 0 and no hits: its needle matches nothing
-    chosen = options.join(cost, [*scope, "role", "key"], "left").groupBy(*scope, *nk).agg(
-        F.min_by(F.struct("role", "key"), F.coalesce("cost", F.lit(0))).alias("k")).select(*scope, *nk, "k.role", "k.key")
-    probes = cut(chosen.join(hits, [*scope, "role", "key"]).select(*scope, *nk, "__tok"))
+    chosen = options.join(cost, [*scope, "__role", "__key"], "left").groupBy(*scope, *nk).agg(
+        F.min_by(F.struct("__role", "__key"), F.coalesce("__cost", F.lit(0))).alias("__k")).select(*scope, *nk, "__k.__role", "__k.__key")
+    probes = cut(chosen.join(hits, [*scope, "__role", "__key"]).select(*scope, *nk, "__tok"))
 
     pairs = postings.join(probes, [*scope, "__tok"]).select(*scope, *tk, *nk).distinct()
     verified = (pairs.join(n, [*scope, *nk]).join(t, [*scope, *tk])
