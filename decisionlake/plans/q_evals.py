@@ -187,9 +187,6 @@ def per_probe_diff(spark, d):
     return sc.per_probe_diff(s.where("sample = 0").drop("sample"), s.where("sample = 1").drop("sample"))
 
 
-_REPLY_OK = "a.h % 23 <> 0"
-
-
 def replies(spark, d):
     """One reply per answer, fenced or bare, some with a repeated id, some cut off."""
     a = P(spark, d, "f_answers")

@@ -255,16 +255,15 @@ SELECT entity * 2 + CASE WHEN dimension = 'urgent' THEN 1 ELSE 0 END AS probe_id
 FROM f_numbered GROUP BY 1, 2, 3, 4
 """
 
+# every order is one answer to the probe of its chain; probes without an answer stay unanswered
 PROJECTIONS["f_answers"] = """
-SELECT arm, tier, sample, probe_id,
-       CASE WHEN h % q = 0 THEN 'V' || CAST(h % 11 AS STRING) WHEN h % 19 = 1 THEN '' ELSE 'uses ' || current_value || ' today' END AS current_value,
-       CASE WHEN h % 3 = 0 THEN 'none' ELSE 'was ' || COALESCE(replaced_value, 'v0') END AS replaced_value, h
-FROM (SELECT g.probe_id, g.current_value, g.replaced_value, s.arm, s.sample, s.tier, s.q,
-             (g.probe_id * 31 + s.sample * 17 + s.q * 7 + CASE WHEN s.tier = 'small' THEN 5 ELSE 0 END) AS h
-      FROM f_gold g JOIN (SELECT CASE n_nationkey % 4 WHEN 0 THEN 'raw' WHEN 1 THEN 'flat' WHEN 2 THEN 'retrieval' ELSE 'resolve' END AS arm,
-                                 CAST(FLOOR(n_nationkey / 8) AS BIGINT) AS sample, CASE WHEN n_nationkey % 8 < 4 THEN 'small' ELSE 'mid' END AS tier,
-                                 n_nationkey % 4 + 3 AS q, 1 AS one FROM {nation} WHERE n_nationkey < 24) s
-        ON s.one = 1) x
+SELECT a.arm, a.tier, a.sample, a.probe_id,
+       CASE WHEN a.h % a.q = 0 THEN 'V' || CAST(a.h % 11 AS STRING) WHEN a.h % 19 = 1 THEN '' ELSE 'uses ' || g.current_value || ' today' END AS current_value,
+       CASE WHEN a.h % 3 = 0 THEN 'none' ELSE 'was ' || COALESCE(g.replaced_value, 'v0') END AS replaced_value, a.h
+FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'raw' WHEN 1 THEN 'flat' WHEN 2 THEN 'retrieval' ELSE 'resolve' END AS arm,
+             CASE WHEN o_orderkey % 8 < 4 THEN 'small' ELSE 'mid' END AS tier, CAST(FLOOR((o_orderkey % 24) / 8) AS BIGINT) AS sample,
+             o_custkey * 2 + CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END AS probe_id, o_orderkey % 4 + 3 AS q, MAX(o_orderkey) AS h
+      FROM {orders} GROUP BY 1, 2, 3, 4, 5) a JOIN f_gold g ON g.probe_id = a.probe_id
 """
 
 
