@@ -4,6 +4,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from decisionlake.plans import registry
 from decisionlake.sources.fixtures import TABLES
 from tests.compare import run
 
@@ -14,7 +15,7 @@ QUICK = ["assemble_chains", "assign_numbers", "resolve_current", "supersede_edge
          "coverage", "project_index", "attribute_cwd", "attribute_mention", "parse_records", "validate_runs", "ledger_upsert",
          "stream_sessions", "fold_runs", "top_k_bm25", "pack_chunks_overlap", "expand_query", "reconcile_claims",
          "validate_signals", "run_cost", "value_lenses", "calibration_verdict", "recall_stats", "score_verdict", "selfcheck_apply"]
-NAMES = list(entry.queries()) if os.environ.get("DL_QUERIES") == "all" else QUICK
+NAMES = list(registry.QUERIES) if os.environ.get("DL_QUERIES") == "all" else QUICK
 
 
 @pytest.fixture(scope="module")
@@ -33,4 +34,4 @@ def test_matches_sql(spark, con, name):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.TWINS)
