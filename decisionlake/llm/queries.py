@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decisionlake.llm import packing, token_files
+from decisionlake.llm import byte_bpe, packing, token_files
 from decisionlake.llm.common import table
 from decisionlake.session import staging_path
 
@@ -33,3 +33,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_byte_bpe")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip_digest(table(spark, sf_dir, "documents"))
