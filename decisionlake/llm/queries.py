@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decisionlake.llm import byte_bpe, packing, token_files
+from decisionlake.llm import byte_bpe, packing, pii, token_files
 from decisionlake.llm.common import table
 from decisionlake.session import staging_path
 
@@ -38,3 +38,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_byte_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii_deobfuscation")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digest(table(spark, sf_dir, "documents"))
