@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decisionlake.llm import byte_bpe, packing, pii, token_files
+from decisionlake.llm import byte_bpe, lz_fingerprint, packing, pii, token_files
 from decisionlake.llm.common import table
 from decisionlake.session import staging_path
 
@@ -43,3 +43,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii_deobfuscation")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op8_lz_fingerprint")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
