@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decisionlake.llm import byte_bpe, lz_fingerprint, packing, pii, token_files
+from decisionlake.llm import byte_bpe, lz_fingerprint, packing, pii, token_files, warc
 from decisionlake.llm.common import table
 from decisionlake.session import staging_path
 
@@ -48,3 +48,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_lz_fingerprint")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op9_warc_normaliser")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = staging_path(spark, "warc")
+    index = warc.archive_pages(table(spark, sf_dir, "pages"), folder)
+    return warc.read_records(index, f"{folder}/members").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
