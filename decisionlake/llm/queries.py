@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decisionlake.llm import byte_bpe, lz_fingerprint, packing, pii, token_files, warc
+from decisionlake.llm import byte_bpe, lz_fingerprint, packing, pii, quality_rules, token_files, twins, warc
 from decisionlake.llm.common import table
 from decisionlake.session import staging_path
 
@@ -55,3 +55,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = staging_path(spark, "warc")
     index = warc.archive_pages(table(spark, sf_dir, "pages"), folder)
     return warc.read_records(index, f"{folder}/members").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_quality_rules", twins.quality())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
