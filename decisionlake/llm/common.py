@@ -7,6 +7,7 @@ import os
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")       # Spark's tasks are the parallelism
 
 from collections.abc import Iterable  # noqa: E402
+from itertools import chain  # noqa: E402
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
@@ -14,6 +15,7 @@ SPACE = r"[\x20\x09-\x0D]"               # what separates words, in every operat
 WORD = r"[^\x20\x09-\x0D]+"
 CACHED_CHUNKS = 1 << 19                  # entries of an encoder's cache in one worker (memory only, never results)
 CACHED_LENGTH = 64                       # longer chunks are encoded anew each time
+JOINED_CHUNKS = 200                      # new words in one call of a tokenizer
 BATCH_ROWS = 512                         # rows an operator holds at once in a Python worker
 
 
@@ -57,7 +59,7 @@ class ChunkCache:
         known = self._known
         if len(known) > CACHED_CHUNKS:
             known.clear()
-        new = list({c for chunks in texts for c in chunks if c not in known})
+        new = list(set(chain.from_iterable(texts)).difference(known))
         if not new:
             return known.__getitem__
         made = dict(zip(new, self._encode_many(new), strict=True))
@@ -69,21 +71,49 @@ class ChunkCache:
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer file whose splits never join characters across a blank or a line feed.
+    """Ids of whole texts by a tokenizer file that drops white space, folds case and never joins letters to punctuation.
 
-    Texts are cut at blanks and line feeds and each distinct chunk is encoded once by the library; ids come as
-    little-endian unsigned 32-bit bytes.
+    Texts are cut at blanks and line feeds and each distinct chunk is encoded once. Points and commas after a letter
+    are cut off a new chunk first, so that a word is encoded once with and without them. Many new words go to the library
+    in one call and are told apart again by their offsets. Ids are little-endian unsigned 32-bit bytes.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
+        self._words: dict[str, bytes] = {}
         self._cache = ChunkCache(self._encode)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
+        words, tails = [], []
+        for c in chunks:
+            word = c.rstrip(".,")
+            if word == c or not word[-1:].lower().isalpha():
+                word = c
+            tails.append(c[len(word):])
+            words.append(word.lower() if word.isascii() else word)
+        words_and_tails = set(words).union(tails)
+        if len(self._words) > CACHED_CHUNKS:
+            self._words = {}
+        new = list(words_and_tails.difference(self._words))
+        made = dict(zip(new, self._encode_words(new), strict=True))
+        self._words.update((w, v) for w, v in made.items() if len(w) <= CACHED_LENGTH)
+        get = self._words.get
+        return [(made.get(w) if (v := get(w)) is None else v) + (get(t) if t else b"") for w, t in zip(words, tails, strict=True)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
         import numpy as np
-        found = self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        out = []
+        blocks = [words[at:at + JOINED_CHUNKS] for at in range(0, len(words), JOINED_CHUNKS)]
+        for block, found in zip(blocks, self._tokenizer.encode_batch([" ".join(b) for b in blocks], add_special_tokens=False), strict=True):
+            ids = np.asarray(found.ids, "<u4").tobytes()
+            starts = [a for a, _ in found.offsets]
+            ends = np.searchsorted(starts, np.cumsum([len(w) + 1 for w in block])).tolist() if starts else [0] * len(block)
+            at = 0
+            for end in ends:
+                out.append(ids[at * 4:end * 4])
+                at = end
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
