@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from decisionlake.llm import byte_bpe, lz_fingerprint, packing, pii, quality_rules, token_files, twins, warc
+from decisionlake.llm import byte_bpe, line_dedup, lz_fingerprint, packing, pii, quality_rules, token_files, twins, warc
 from decisionlake.llm.common import table
 from decisionlake.session import staging_path
 
@@ -61,3 +62,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op5_line_dedup", twins.line_dedup())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+    return removed.withColumn("removed", F.array_join("removed", ","))

@@ -55,3 +55,21 @@ verdicts AS (SELECT f.*, NOT base_failed AND b.doc_id IS NULL AS kept FROM figur
 def quality() -> str:
     return f"""WITH {quality_verdicts()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdicts"""
+
+
+def line_dedup() -> str:
+    return f"""WITH lines AS (
+  SELECT doc_id, i AS line_no, list_distinct(list_filter(regexp_split_to_array(line, '{SPLIT}'), lambda w: w <> '')) AS ws FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)),
+sets AS (SELECT *, len(ws) AS n FROM lines WHERE len(ws) > 0),
+tokens AS (SELECT doc_id, line_no, n, unnest(ws) AS w FROM sets),
+frequency AS (SELECT w, count(*) AS df FROM tokens GROUP BY w),
+ranked AS (SELECT doc_id, line_no, n, w, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY df, w) AS r FROM tokens JOIN frequency USING (w)),
+prefixes AS (SELECT doc_id, line_no, n, w FROM ranked WHERE r <= n - (4 * n + 4) // 5 + 1),
+pairs AS (SELECT DISTINCT a.doc_id, a.line_no, b.doc_id AS b_doc, b.line_no AS b_line FROM prefixes a JOIN prefixes b ON a.w = b.w
+          AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.line_no < a.line_no) AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+gone AS (SELECT DISTINCT p.doc_id, p.line_no FROM pairs p JOIN sets a ON a.doc_id = p.doc_id AND a.line_no = p.line_no
+         JOIN sets b ON b.doc_id = b_doc AND b.line_no = b_line WHERE 9 * len(list_intersect(a.ws, b.ws)) >= 4 * (a.n + b.n)),
+grouped AS (SELECT doc_id, count(*) AS n, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(g.removed, '') AS removed
+FROM documents d LEFT JOIN grouped g ON g.doc_id = d.doc_id"""
