@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlake.llm import byte_bpe, line_dedup, lz_fingerprint, packing, pii, quality_rules, token_files, twins, warc
+from decisionlake.llm import byte_bpe, line_dedup, lz_fingerprint, ngram_join, packing, pii, quality_rules, token_files, twins, warc
 from decisionlake.llm.common import table
 from decisionlake.session import staging_path
 
@@ -68,3 +68,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = line_dedup.removed_lines(table(spark, sf_dir, "documents"))
     return removed.withColumn("removed", F.array_join("removed", ","))
+
+
+@query("op7_ngram_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
