@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlake.llm import byte_bpe, line_dedup, lz_fingerprint, ngram_join, packing, pii, quality_rules, token_files, twins, warc
+from decisionlake.llm import byte_bpe, line_dedup, lm_scoring, lz_fingerprint, ngram_join, packing, pii, quality_rules, token_files, twins, warc
 from decisionlake.llm.common import table
 from decisionlake.session import staging_path
 
@@ -73,3 +73,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ngram_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_context_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
