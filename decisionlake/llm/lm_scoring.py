@@ -37,8 +37,8 @@ from decisionlake.session import cut
 # --- fixed values: the task -------------------------------------------------------------------
 FOLDS, HELD_OUT = 7, 2                    # crc32(doc_id) mod FOLDS = HELD_OUT is held out
 
-BUCKETS = 1 << 13
-SLOTS = 1 << 22                           # places in each table of contexts
+BUCKETS = 1 << 10
+SLOTS = 1 << 21                           # places in each table of contexts
 BLOCK = 1 << 14                           # places that are summed together
 ORDERS = 2
 COMMON = 1 << 19                          # tokens whose counts are broadcast, at most: 8 MB
@@ -62,22 +62,32 @@ class Hasher:
     """Token hashes of texts; known words are kept, within a bound."""
 
     def __init__(self):
+        import numpy as np
         import xxhash
-        self._hash, self._known = xxhash.xxh64_intdigest, {}
+        self._hash, self._known, self._hashes = xxhash.xxh64_intdigest, {}, np.empty(KEPT_WORDS, np.uint64)
 
     def __call__(self, texts: list[str | None]):
         """One array of hashes a text, the end token included."""
         import numpy as np
         known, out = self._known, []
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        words = [(t or "").encode().translate(LOWER).split() for t in texts]
-        for w in words:
-            w.append(END)
-        for w in set().union(*words).difference(known):
-            known[w] = self._hash(w)
-        for w in words:
-            out.append(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)))
+        for t in texts:
+            words = (t or "").encode().translate(LOWER).split()
+            words.append(END)
+            at = list(map(known.get, words))
+            if None in at:
+                new = [w for w, i in zip(words, at, strict=True) if i is None]
+                if len(known) + len(new) > KEPT_WORDS:
+                    known.clear()
+                    new = words
+                if len(new) > KEPT_WORDS:
+                    out.append(np.fromiter(map(self._hash, words), np.uint64, len(words)))
+                    continue
+                for w in new:
+                    if w not in known:
+                        self._hashes[len(known)] = self._hash(w)
+                        known[w] = len(known)
+                at = list(map(known.get, words))
+            out.append(self._hashes[at])
         return out
 
 
@@ -180,6 +190,13 @@ def contexts(hashes, before=(1, 1)):
     return one, _mix(one + past[:-2] * np.uint64(0xA0761D6478BD642F))
 
 
+def pieces(texts: list, at: int):
+    """Of the texts that are longer than ``at`` tokens: their numbers, their tokens from there, and those tokens' contexts."""
+    rows = [i for i, h in enumerate(texts) if len(h) > at]
+    parts = [texts[i][at:at + PIECE] for i in rows]
+    return rows, parts, [contexts(p, (texts[i][at - 2], texts[i][at - 1]) if at else (1, 1)) for i, p in zip(rows, parts, strict=True)]
+
+
 # context tables -----------------------------------------------------------------------------------
 def context_tables(docs: DataFrame, code) -> DataFrame:
     """(order, block, logit, seen): the trained tables; ``code`` is a broadcast :class:`Code`."""
@@ -191,14 +208,14 @@ def context_tables(docs: DataFrame, code) -> DataFrame:
         seen_any = False
         for b in slices(batches, BATCH):
             texts = [t for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if not is_held_out(d)]
-            for h in hashed(texts) if texts else []:
-                for at in range(0, len(h), PIECE):
-                    part = h[at:at + PIECE]
-                    before = (h[at - 2], h[at - 1]) if at else (1, 1)
-                    token, node, bit = spelled.spell((part & np.uint64(BUCKETS - 1)).astype(np.int64))
-                    for order, context in enumerate(contexts(part, before)):
-                        np.add.at(counts[order].reshape(-1), spelled.slot(context[token], node) * 2 + bit, 1)
-                    seen_any = True
+            tokens = hashed(texts) if texts else []
+            for piece in range(0, max(map(len, tokens), default=0), PIECE):
+                parts, both = pieces(tokens, piece)[1:]
+                token, node, bit = spelled.spell((np.concatenate(parts) & np.uint64(BUCKETS - 1)).astype(np.int64))
+                for order in range(ORDERS):
+                    context = np.concatenate([c[order] for c in both])
+                    np.add.at(counts[order].reshape(-1), spelled.slot(context[token], node) * 2 + bit, np.int32(1))
+                seen_any = True
         if seen_any:
             for order in range(ORDERS):
                 for block in range(SLOTS // BLOCK):
@@ -248,6 +265,15 @@ def _first_weights():
     return np.stack([1 - one - two, one, two + np.zeros_like(one)], axis=-1).reshape(-1, 3).astype(np.float32)
 
 
+def _numbered(keys, size: int):
+    """Which of ``size`` rows are used, the number of each key among them, and how many: all rows where keys are many."""
+    import numpy as np
+    if len(keys) * 8 >= size:
+        return slice(None), keys, size
+    used, at = np.unique(keys, return_inverse=True)
+    return used, at, len(used)
+
+
 def mixed_score(model: dict, texts: list):
     """The natural logarithm of each text's bits under the model; ``texts`` are token hashes."""
     import numpy as np
@@ -256,13 +282,11 @@ def mixed_score(model: dict, texts: list):
     gates = len(start)
     weights = np.tile(start, (len(texts), 1))                          # (text, gate) x predictor
     centres = np.linspace(-8, 8, MAP_BINS)
-    refined = np.tile(1 / (1 + np.exp(-centres)), len(texts))          # (text, bin)
+    refined = np.tile((1 / (1 + np.exp(-centres))).astype(np.float32), len(texts))      # (text, bin)
     score = np.zeros(len(texts))
     longest = max(map(len, texts), default=0)
     for piece in range(0, longest, PIECE):
-        rows = [i for i, h in enumerate(texts) if len(h) > piece]
-        parts = [texts[i][piece:piece + PIECE] for i in rows]
-        both = [contexts(p, (texts[i][piece - 2], texts[i][piece - 1]) if piece else (1, 1)) for i, p in zip(rows, parts, strict=True)]
+        rows, parts, both = pieces(texts, piece)
         one, two = (np.concatenate([c[k] for c in both]) for k in (0, 1))
         owner = np.repeat(rows, [len(p) for p in parts])
         segment = np.concatenate([np.arange(len(p)) // SEGMENT for p in parts])
@@ -276,18 +300,19 @@ def mixed_score(model: dict, texts: list):
         edges = np.searchsorted(segment[token], np.arange(int(segment[-1]) + 2))
         for a, z in zip(edges[:-1], edges[1:], strict=True):
             g, xs, y, who = gate[a:z], x[a:z], bit[a:z], owner[a:z]
-            mixed = np.clip((weights[g] * xs).sum(axis=1), -8, 8)
+            mixed = np.clip(np.einsum("ij,ij->i", weights[g], xs), -8, 8)
             p = 1 / (1 + np.exp(-mixed))
             cell = who * MAP_BINS + np.rint((mixed + 8) * ((MAP_BINS - 1) / 16)).astype(np.int64)
             final = (1 - MAP_SHARE) * p + MAP_SHARE * refined[cell]
             score += np.bincount(who, np.log(np.where(y > 0, final, 1 - final)), len(texts))
             error = y - p
-            used, at = np.unique(g, return_inverse=True)
+            used, at, n = _numbered(g, len(weights))
             for k in range(3):
-                weights[used, k] += RATE * np.bincount(at, error * xs[:, k], len(used))
-            used, at, n = np.unique(cell, return_inverse=True, return_counts=True)
-            drift = np.bincount(at, y, len(used)) / n
-            refined[used] += (1 - (1 - MAP_RATE) ** n) * (drift - refined[used])
+                weights[used, k] += RATE * np.bincount(at, error * xs[:, k], n)
+            used, at, n = _numbered(cell, len(refined))
+            seen_here = np.maximum(np.bincount(at, minlength=n), 1)
+            drift = np.bincount(at, y - refined[cell], n) / seen_here
+            refined[used] += (1 - (1 - MAP_RATE) ** seen_here) * drift
     return score
 
 
