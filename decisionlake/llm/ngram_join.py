@@ -19,7 +19,7 @@ chance below 1e-15.
 
 *Classes* are the connected components of the links, found by alternating star contractions over tables.
 
-Defined results: texts without a word are their own class and link to nothing; a null text has no words; rows with equal
+Defined results: texts without a word, null ones too, are copies of each other and link to nothing; rows with equal
 id are each judged by their own text; the class id is the smallest document id in it (null ids are smallest and give a
 null class id); links count other sets, so exact copies are not links; an empty table gives an empty result.
 """
@@ -329,8 +329,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
 
 def _marked(docs: DataFrame, threshold: float, target: float) -> DataFrame:
     members = cut(_signatures(_rows(docs)))
-    reps = cut(members.where("n > 0").groupBy("digest").agg(F.min("d").alias("rid"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig")))
-    found = links(docs, reps, threshold, target)
+    reps = cut(members.groupBy("digest").agg(F.min("d").alias("rid"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    found = links(docs, reps.where("n > 0"), threshold, target)
     degree = found.groupBy("rid", "digest").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("rid").alias("u"), F.col("root").alias("v")))
     classes = (reps.select("digest", "rid", "n_copies").join(degree, ["rid", "digest"], "left")
