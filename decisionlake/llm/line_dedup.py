@@ -8,11 +8,11 @@ least ``threshold``. "Earlier" is the order of (doc_id, hash of the text, line n
 2. Each line becomes its words' keys in that order, its prefix (of which two similar lines share a word) and a bitmap. This
    table is written once; it holds no whole sets.
 3. Lines with equal sets meet by aggregation alone; only the first line of each set goes on.
-4. Hot groups first: where many sets share one of their rarest words, each is compared with the group's earliest
-   member, which settles most members of a large group of near copies at one pair each.
+4. Groups first: where several sets share one of their rarest words, each is compared with the group's earliest
+   member, which settles most members of a large group of near copies at one pair each; then again with the next one.
 5. The sets that are still open meet all earlier sets in one equi-join on prefix words. The length, positional and
    bitmap filters, all of them exact bounds, are part of the join, so only likely pairs leave it.
-6. Every remaining pair is verified on the words themselves.
+6. Every remaining pair is verified on the whole sets of words, told apart by 64-bit hashes.
 
 No step collects a group, emits all pairs of one or drops a candidate. Small sides are broadcast only below ``SMALL_ROWS``,
 after a count; the same join runs shuffled beyond that.
@@ -37,7 +37,8 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 THRESHOLD = 0.8
 BUCKETS = 1 << 16                         # of the word counts: one byte each in the plan, whatever the vocabulary
 SMALL_ROWS = 500_000                      # rows of (id, hash, line) that may be broadcast, about 15 MB
-HOT = 16                                  # sets that share a rare word before they are compared with the earliest first
+HOT = 4                                   # sets that share a rare word before they are compared with the earliest first
+ROUNDS = 3                                # of that; each has new earliest members
 HOT_WORDS = 3                             # of how many of a set's rarest words
 AT = ["d", "th", "line_no"]               # a line's place
 NO_ID = -(1 << 63)
@@ -151,7 +152,7 @@ def _verified(documents: DataFrame, pairs: DataFrame, bounds: Bounds) -> DataFra
     places = cut(pairs.select(*AT).union(earlier).distinct())
     owners = cut(places.select("d", "th").distinct())
     lines = _lines(documents.join(_small(owners), ["d", "th"], "left_semi")).join(_small(places), AT, "left_semi")
-    sets = lines.select(*AT, F.array_distinct(words(F.col("line"))).alias("words"))
+    sets = lines.select(*AT, F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("words"))
     both = (pairs.join(sets.withColumnRenamed("words", "wa"), AT)
             .join(sets.select(*[F.col(x).alias(f"b_{x}") for x in AT], F.col("words").alias("wb")), [f"b_{x}" for x in AT]))
     common = F.size(F.array_intersect("wa", "wb"))
@@ -170,14 +171,19 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     copies = marked.where(F.col("first").isNotNull() & (place != F.col("first"))).select(*AT)
     sets = marked.where(F.col("first").isNull() | (place == F.col("first"))).select(*AT, "n", "prefix", "bm1", "bm2")
 
-    # hot groups: the earliest member settles most of the others
+    # groups first: their earliest members settle most of the others
     size_class = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
     rare = sets.select(*AT, "n", "bm1", "bm2", size_class.alias("c"), F.explode(F.slice("prefix", 1, HOT_WORDS)).alias("w"))
-    hot = cut(rare.groupBy("w", "c").count().where(F.col("count") >= HOT).select("w", "c"))
-    in_hot = rare.join(_small(hot), ["w", "c"])
-    leaders = cut(in_hot.groupBy("w", "c").agg(F.min(F.struct(*AT, "n", "bm1", "bm2")).alias("l")).select("w", "c", "l.*"))
-    first_pairs = _pairs(in_hot.alias("a").join(_small(leaders).alias("b"), ["w", "c"]).where(_before("b", "a") & _likely("a", "b", bounds, False)))
-    settled = cut(_verified(documents, first_pairs, bounds))
+    settled = led = None
+    for _ in range(ROUNDS):
+        fresh = rare if led is None else rare.join(_small(settled), AT, "left_anti").join(_small(led), AT, "left_anti")
+        hot = cut(fresh.groupBy("w", "c").count().where(F.col("count") >= HOT).select("w", "c"))
+        in_hot = fresh.join(_small(hot), ["w", "c"])
+        leaders = cut(in_hot.groupBy("w", "c").agg(F.min(F.struct(*AT, "n", "bm1", "bm2")).alias("l")).select("w", "c", "l.*"))
+        led = cut(leaders.select(*AT).distinct() if led is None else leaders.select(*AT).unionByName(led).distinct())
+        pairs = _pairs(in_hot.alias("a").join(_small(leaders).alias("b"), ["w", "c"]).where(_before("b", "a") & _likely("a", "b", bounds, False)))
+        more = _verified(documents, pairs, bounds)
+        settled = cut(more if settled is None else settled.unionByName(more).distinct())
 
     # all that is open against all that is earlier; one exchange serves both sides, as no condition is on one side alone
     open_sets = sets.join(_small(settled).withColumn("settled", F.lit(True)), AT, "left")

@@ -102,10 +102,10 @@ def _shingled(with_set: bool):
         import pyarrow as pa
         for b in slices(batches, 256):
             sets = [shingles(t or "") for t in b.column("text").to_pylist()]
-            columns = [b.column("d"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+            columns = [b.column("d"), b.column("th"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                        pa.array([len(s) for s in sets], pa.int32()),
                        pa.array([signature(s).tobytes() if len(s) else b"" for s in sets], pa.binary())]
-            names = ["d", "digest", "n", "sig"]
+            names = ["d", "th", "digest", "n", "sig"]
             if with_set:
                 columns.append(pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()))
                 names.append("hashes")
@@ -114,7 +114,7 @@ def _shingled(with_set: bool):
 
 
 def _signatures(docs: DataFrame, with_set: bool = False) -> DataFrame:
-    return docs.mapInArrow(_shingled(with_set), "d bigint, digest binary, n int, sig binary" + ", hashes binary" * with_set)
+    return docs.mapInArrow(_shingled(with_set), "d bigint, th bigint, digest binary, n int, sig binary" + ", hashes binary" * with_set)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 # the join -------------------------------------------------------------------------------------
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), "text")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"), "text")
 
 
 def links(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
@@ -339,19 +339,21 @@ def _marked(docs: DataFrame, threshold: float, target: float) -> DataFrame:
     # most documents are alone: only the others meet their class
     classes = cut(classes.where("n_links > 0 OR n_copies > 1"))
     return members.join(_small(classes), "digest", "left").select(
-        "d", "digest", F.coalesce("class", "d").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "d", "th", F.coalesce("class", "d").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """``docs`` with one row of each class: the one that gave the class its id. All columns stay."""
-    marked = cut(_marked(docs, threshold, target).select("d", "class"))
-    gone = cut(marked.where("d <> class").select(F.col("d").alias("__d")).distinct())
-    stays = marked.where("d = class").groupBy("d").count()
-    twice = cut(stays.where("count > 1").select(F.col("d").alias("__d")))
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__d")
+    """``docs`` with one row of each class: the one that gave the class its id. All columns stay.
+
+    Rows that repeat both id and text are one; different texts under the class's id all stay.
+    """
+    marked = cut(_marked(docs, threshold, target).select(F.col("d").alias("__d"), F.col("th").alias("__th"), "class"))
+    gone = cut(marked.where("__d <> class").select("__d", "__th").distinct())
+    twice = cut(marked.where("__d = class").groupBy("__d", "__th").count().where("count > 1").select("__d", "__th"))
+    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__d")) & (F.xxhash64("text") == F.col("__th"))
     kept = docs.join(_small(gone), own, "left_anti")
     if twice.isEmpty():
         return kept
     small = _small(twice)
-    return kept.join(small, own, "left_anti").unionByName(kept.join(small, own, "left_semi").dropDuplicates(["doc_id"]))
+    return kept.join(small, own, "left_anti").unionByName(kept.join(small, own, "left_semi").dropDuplicates(["doc_id", "text"]))
