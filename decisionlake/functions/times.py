@@ -25,13 +25,18 @@ def normalize_ts(value: Column) -> Column:
 
 
 def first_ts(obj: Column) -> Column:
-    """First parseable of the known keys of a variant object, then the same inside ``payload``."""
-    candidates = []
-    for prefix in ("$", "$.payload", "$.payload.payload"):
-        for key in TS_KEYS:
-            candidates.append(F.try_variant_get(obj, f"{prefix}.{key}", "string"))
-    parsed = F.transform(F.array_compact(F.array(*candidates)), normalize_ts)
-    return F.get(F.filter(parsed, lambda t: t.isNotNull()), 0)
+    """First parseable of the known keys of a variant object, then the same inside ``payload``, however deep."""
+    def here(v: Column) -> Column:
+        texts = F.array_compact(F.array(*[F.try_variant_get(v, f"$.{key}", "string") for key in TS_KEYS]))
+        return F.get(F.filter(F.transform(texts, normalize_ts), lambda t: t.isNotNull()), F.lit(0))
+
+    def step(acc: Column, _: Column) -> Column:
+        inner = F.try_variant_get(acc["v"], "$.payload", "variant")
+        return F.struct(inner.alias("v"), F.coalesce(acc["t"], here(inner)).alias("t"))
+
+    levels = F.regexp_count(F.coalesce(F.to_json(obj), F.lit("")), F.lit('"payload"'))
+    deep = F.aggregate(F.sequence(F.lit(1), levels), F.struct(obj.alias("v"), F.lit(None).cast("timestamp").alias("t")), step, lambda acc: acc["t"])
+    return F.coalesce(here(obj), F.when(levels > 0, deep))
 
 
 def iso_day(value: Column) -> Column:

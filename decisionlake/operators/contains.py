@@ -39,18 +39,22 @@ def _needle_keys(pieces: Column) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: k["__key"] != ""))
 
 
-def _vocab_keys(tok: Column) -> Column:
-    ends = F.sequence(F.lit(1), F.least(F.length(tok), F.lit(KEY)))
-    return F.concat(F.array(_key("exact", tok)), F.transform(ends, lambda k: _key("suffix", F.right(tok, k))),
-                    F.transform(ends, lambda k: _key("prefix", F.left(tok, k))))
+def _vocab_keys(tok: Column, lengths: dict[str, list[int]]) -> Column:
+    """The keys a piece of text may be asked by: only of the roles and lengths that some needle has."""
+    def ends(role: str, end) -> Column:
+        fits = F.filter(F.array(*[F.lit(k) for k in lengths[role]]), lambda k: k <= F.length(tok))
+        return F.transform(fits, lambda k: _key(role, end(tok, k)))
 
+    keys = [F.array(_key("exact", tok))] if "exact" in lengths else []
+    return F.concat(*keys, *[ends(role, end) for role, end in (("suffix", F.right), ("prefix", F.left)) if role in lengths])
 
-def _inside_hits(vocab: DataFrame, asked: DataFrame, scope: list[str]) -> DataFrame:
-    """Vocabulary entries that hold a lone piece, found by the piece's rarest gram."""
+
+def _inside_hits(vocab: DataFrame, asked: DataFrame, scope: list[str], sizes: list[int]) -> DataFrame:
+    """Vocabulary entries that hold a lone piece, found by the piece's rarest gram of one of ``sizes``."""
     size = F.least(F.length("__key"), F.lit(GRAM))
     grams = F.when(size == 1, _grams(F.col("__key"), 1)).when(size == 2, _grams(F.col("__key"), 2)).otherwise(_grams(F.col("__key"), GRAM))
     want = asked.where("__role = 'inside'").select(*scope, "__key", F.explode(grams).alias("__g"))
-    table = (vocab.select(*scope, "__tok", "__df", F.explode(F.concat(*[_grams(F.col("__tok"), s) for s in range(1, GRAM + 1)])).alias("__g"))
+    table = (vocab.select(*scope, "__tok", "__df", F.explode(F.concat(*[_grams(F.col("__tok"), s) for s in sizes])).alias("__g"))
              .join(want.select(*scope, "__g").distinct(), [*scope, "__g"], "left_semi"))
     freq = table.groupBy(*scope, "__g").agg(F.count(F.lit(1)).alias("__n"))
     probe = want.join(freq, [*scope, "__g"], "left").groupBy(*scope, "__key").agg(F.min_by("__g", F.coalesce("__n", F.lit(0))).alias("__g"))
@@ -77,11 +81,24 @@ def contains_join(texts: DataFrame, needles: DataFrame, text_keys: list[str], ne
     parts = cut(once(n, "__keys", _needle_keys(F.split("__needle", sep))))
 
     options = parts.select(*scope, *nk, F.explode("__keys").alias("__k")).select(*scope, *nk, "__k.__role", "__k.__key")
-    asked = options.select(*scope, "__role", "__key").distinct()
-    listed = vocab.select(*scope, "__tok", "__df", F.explode(_vocab_keys(F.col("__tok"))).alias("__k")).select(
-        *scope, "__tok", "__df", "__k.__role", "__k.__key")
-    hits = listed.join(asked, [*scope, "__role", "__key"]).select(*scope, "__role", "__key", "__tok", "__df")
-    hits = cut(hits.unionByName(_inside_hits(vocab, asked, scope)))
+    asked = cut(options.select(*scope, "__role", "__key").distinct())
+    lengths: dict[str, list[int]] = {}                       # at most KEY numbers a role
+    for r in asked.select("__role", F.least(F.length("__key"), F.lit(KEY)).alias("n")).where("__role <> 'exact'").distinct().collect():
+        lengths.setdefault(r["__role"], []).append(r.n)
+    if not asked.where("__role = 'exact'").isEmpty():
+        lengths["exact"] = []
+    wanted = [*scope, "__role", "__key", "__tok", "__df"]
+    found = []
+    if lengths.keys() - {"inside"}:
+        listed = vocab.select(*scope, "__tok", "__df", F.explode(_vocab_keys(F.col("__tok"), lengths)).alias("__k")).select(
+            *scope, "__tok", "__df", "__k.__role", "__k.__key")
+        found.append(listed.join(asked, [*scope, "__role", "__key"]).select(*wanted))
+    if "inside" in lengths:
+        found.append(_inside_hits(vocab, asked, scope, sorted({min(n, GRAM) for n in lengths["inside"]})).select(*wanted))
+    if not found:
+        found.append(vocab.select(*scope, F.lit("").alias("__role"), F.lit("").alias("__key"), "__tok", "__df").limit(0))
+    hits = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    hits = cut(hits)
     cost = hits.groupBy(*scope, "__role", "__key").agg(F.sum("__df").alias("__cost"))
     # a piece that is in no text has cost 0 and no hits: its needle matches nothing
     chosen = options.join(cost, [*scope, "__role", "__key"], "left").groupBy(*scope, *nk).agg(
@@ -94,6 +111,8 @@ def contains_join(texts: DataFrame, needles: DataFrame, text_keys: list[str], ne
 
     # empty or separator-only needles: nothing to look up, the scope itself is the candidate set
     bare = parts.where(F.size("__keys") == 0).select(*scope, *nk, "__needle")
+    if bare.isEmpty():                                       # else every text of the scope is part of the answer
+        return verified
     on = scope
     if not scope:
         t, bare, on = t.withColumn("__one", F.lit(1)), bare.withColumn("__one", F.lit(1)), ["__one"]

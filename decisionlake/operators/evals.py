@@ -63,26 +63,30 @@ def price_lookup(runs: DataFrame, prices: DataFrame, dated: bool = False) -> Dat
 
     Both are equi-joins on the candidate names of each run.
     """
-    names = prices.select(F.col("model").alias("base")).distinct()
+    sheet = ["sheet"] if "sheet" in runs.columns and "sheet" in prices.columns else []
+    names = prices.select(*sheet, F.col("model").alias("base")).distinct()
     if dated:
         cands = F.array_distinct(F.array(F.col("model"), F.regexp_replace("model", r"-20\d{6}$", "")))
     else:
         parts = F.split("model", "-")
         cands = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "-"))
-    hits = runs.select("run_id", F.explode(cands).alias("base")).join(names, "base")
+    hits = runs.select("run_id", *sheet, F.explode(cands).alias("base")).join(names, [*sheet, "base"])
     return hits.groupBy("run_id").agg(F.max_by("base", F.length("base")).alias("base"))
 
 
 def run_cost(results: DataFrame, runs: DataFrame, prices: DataFrame) -> DataFrame:
     """Tokens, weighted index, USD (exact with an in/out split, else estimated from a blended rate) and
     cost per pass; ``usd_per_pass`` is withheld below the efficacy gate."""
-    tok = results.groupBy("run_id").agg(F.sum("tok_in").alias("tin"), F.sum("tok_out").alias("tout"))
+    both = F.col("tok_in") + F.col("tok_out")
+    one_total = F.coalesce("tok_total", both) if "tok_total" in results.columns else both
+    tok = results.groupBy("run_id").agg(F.sum("tok_in").alias("tin"), F.sum("tok_out").alias("tout"), F.sum(one_total).alias("tsum"))
     base = price_lookup(runs, prices)
-    rate = prices.select(F.col("model").alias("base"), "price_in", "price_out", "blended")
-    tier = prices.select(F.col("model").alias("model_tier"), F.col("blended").alias("tier_blended"))
+    sheet = ["sheet"] if "sheet" in runs.columns and "sheet" in prices.columns else []      # several price sheets: a run names its own
+    rate = prices.select(*sheet, F.col("model").alias("base"), "price_in", "price_out", "blended")
+    tier = prices.select(*sheet, F.col("model").alias("model_tier"), F.col("blended").alias("tier_blended"))
     r = (runs.join(tok, "run_id").join(pass_rate(results), "run_id").join(base, "run_id", "left")
-         .join(rate, "base", "left").join(tier, "model_tier", "left"))
-    total = F.col("tin") + F.col("tout")
+         .join(rate, [*sheet, "base"], "left").join(tier, [*sheet, "model_tier"], "left"))
+    total = F.col("tsum")
     exact = F.when(F.col("has_split"), F.col("tin") / 1e6 * F.col("price_in") + F.col("tout") / 1e6 * F.col("price_out"))
     usd = F.coalesce(exact, total / 1e6 * F.coalesce("tier_blended", "blended"))
     r = r.withColumn("total", total).withColumn(
@@ -108,15 +112,15 @@ def value_lenses(costs: DataFrame) -> DataFrame:
     sets = costs.groupBy(s).agg(F.count(F.lit(1)).alias("runs"), F.max("rate").alias("top")).where("runs >= 2")
     iso = costs.join(sets.select(s, "top"), s).where("rate = top and usd_pp is not null and not gated")
     save = iso.groupBy(s).agg(F.count(F.lit(1)).alias("n"), F.min_by("run_id", F.struct("usd_pp", "run_id")).alias("cheap_run"), F.min("usd_pp").alias("lo"),
-                              F.max_by("run_id", F.struct("usd_pp", F.negate("run_id"))).alias("dear_run"), F.max("usd_pp").alias("hi")).where("n >= 2 and hi > 0 and cheap_run <> dear_run")
+                              F.min_by("run_id", F.struct(F.negate("usd_pp"), "run_id")).alias("dear_run"), F.max("usd_pp").alias("hi")).where("n >= 2 and hi > 0 and cheap_run <> dear_run")
     save = save.select(s, "cheap_run", "dear_run", F.try_divide("hi", "lo").alias("saving"))
-    sota = costs.where("condition = 'baseline'").groupBy(s).agg(F.max_by(
+    sota = costs.where("condition = 'baseline'").groupBy(s).agg(F.min_by(
         F.struct("run_id", "rate", "usd_pp", _tier_rank(F.col("model_tier"), 0).alias("rank")),
-        F.struct(_tier_rank(F.col("model_tier"), 0), "rate", F.negate("run_id"))).alias("b"))
+        F.struct(F.negate(_tier_rank(F.col("model_tier"), 0)), F.negate(F.coalesce("rate", F.lit(-1.0))), "run_id")).alias("b"))
     cand = costs.join(sota, s).where(_tier_rank(F.col("model_tier"), 9) < F.col("b.rank")).where(
         "rate >= b.rate and not gated and usd_pp is not null and coalesce(b.usd_pp, 0) <> 0")
     cand = cand.withColumn("mult", F.try_divide("b.usd_pp", "usd_pp"))
-    best = cand.groupBy(s).agg(F.max_by("run_id", F.struct(F.coalesce("mult", F.lit(0.0)), F.negate("run_id"))).alias("transfer_run"),
+    best = cand.groupBy(s).agg(F.min_by("run_id", F.struct(F.negate(F.coalesce("mult", F.lit(0.0))), "run_id")).alias("transfer_run"),
                                F.max("mult").alias("transfer_mult"))
     return sets.join(save, s, "left").join(sota.select(s, F.col("b.run_id").alias("baseline_run")), s, "left").join(best, s, "left").select(
         s, "top", "cheap_run", "dear_run", "saving", "baseline_run", "transfer_run", "transfer_mult")

@@ -166,7 +166,7 @@ def immediately_replaced(records: DataFrame, current: DataFrame) -> DataFrame:
     own = (records.join(cur, ["lib", "rec_id"], "left_semi")
            .select("lib", "rec_id", F.get(tx.id_refs(F.col("supersedes"), r"\b([A-Za-z]+)\s+(\d+)\b"), F.lit(0)).alias("own_id")))
     back = (records.select("lib", F.col("rec_id").alias("from_id"), tx.superseded_by(F.col("status")).alias("rec_id"),
-                           F.struct("type", "path").alias("ord"))
+                           F.struct(tx.type_rank(F.col("type")), "path").alias("ord"))
             .where(F.col("rec_id").isNotNull() & (F.col("rec_id") != F.col("from_id")))
             .join(cur, ["lib", "rec_id"], "left_semi")
             .groupBy("lib", "rec_id").agg(F.min_by("from_id", "ord").alias("back_id")))
@@ -245,14 +245,14 @@ def _unary_steps(pointers: DataFrame, walks: DataFrame, starts: DataFrame) -> Da
     return rows.select("lib", "rec_id", F.col("at").alias("walked_id"))
 
 
-def _components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame | None:
+def _components(edges: DataFrame) -> DataFrame | None:
     """Strongly connected components that hold a cycle: (lib, rec_id, comp); None when there is none.
 
     Trims nodes without a way in or out, then colours forward and collects backward.
     """
     done = None
     edges = cut(edges)
-    for _ in range(max_rounds):
+    while True:                                             # every round removes edges or ends
         before = edges.count()
         if before == 0:
             return done
@@ -265,7 +265,7 @@ def _components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame | None:
         if after < before:
             continue
         colour = cut(edges.select("lib", F.col("a").alias("rec_id")).distinct().withColumn("c", F.col("rec_id")))
-        for _ in range(max_rounds):
+        while True:                                         # colours only grow
             pushed = (edges.join(colour.withColumnRenamed("rec_id", "a"), ["lib", "a"])
                       .groupBy("lib", F.col("b").alias("rec_id")).agg(F.max("c").alias("p")))
             nxt = cut(colour.join(pushed, ["lib", "rec_id"], "left").select(
@@ -273,11 +273,9 @@ def _components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame | None:
             colour = nxt.select("lib", "rec_id", "c")
             if nxt.where("moved").isEmpty():
                 break
-        else:
-            raise RuntimeError("component colours did not converge")
         back = cut(colour.where("rec_id = c"))
         frontier = back
-        for _ in range(max_rounds):
+        while True:                                         # the frontier is new each time
             step = (edges.join(frontier.select("lib", F.col("rec_id").alias("b"), "c"), ["lib", "b"])
                     .select("lib", F.col("a").alias("rec_id"), "c").distinct()
                     .join(colour, ["lib", "rec_id", "c"], "left_semi")
@@ -286,8 +284,6 @@ def _components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame | None:
             if frontier.isEmpty():
                 break
             back = cut(back.unionByName(frontier))
-        else:
-            raise RuntimeError("component collection did not converge")
         sizes = back.groupBy("lib", "c").agg(F.count(F.lit(1)).alias("n"))
         own = edges.where("a = b").select("lib", F.col("a").alias("c"), F.lit(True).alias("own")).distinct()
         comps = cut(back.join(sizes, ["lib", "c"]).join(own, ["lib", "c"], "left")
@@ -305,7 +301,7 @@ def _node_reasons(records: DataFrame) -> DataFrame:
     forks = edges.groupBy("lib", F.col("src_id").alias("rec_id")).agg(
         F.count(F.lit(1)).alias("ways"), F.min("dst_id").alias("first_way"))
     base = records.groupBy("lib", "rec_id").agg(F.min(tx.superseded_by(F.col("status"))).alias("next_id"))
-    fields = records.groupBy("lib", F.col("rec_id").alias("next_id")).agg(F.max("supersedes").alias("field"))
+    fields = records.groupBy("lib", F.col("rec_id").alias("next_id")).agg(F.max(F.coalesce("supersedes", F.lit(""))).alias("field"))
     back = records.select("lib", F.col("rec_id").alias("next_id"),
                           F.explode(tx.id_refs(F.col("supersedes"))).alias("rec_id")).distinct().withColumn("listed", F.lit(True))
     reason = (F.when(F.col("ways") >= 2, F.concat(F.lit("forked: "), F.col("ways").cast("string"), F.lit(" superseders")))

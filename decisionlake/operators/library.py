@@ -57,7 +57,7 @@ def search(records: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
         if "status" in filters:
             rows = rows.where("want_status is null or startswith(lower(status), lower(want_status))")
     totals = rows.groupBy("lib", "query_id").agg(F.count(F.lit(1)).alias("total_matches"))
-    w = Window.partitionBy("lib", "query_id").orderBy("type", "path")
+    w = Window.partitionBy("lib", "query_id").orderBy(tx.type_rank(F.col("type")), "path")
     first = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return first.join(totals, ["lib", "query_id"]).select(
         "lib", "query_id", "rank", "rec_id", "type", "status", "title", "total_matches",

@@ -113,7 +113,8 @@ def norm_message_dir(raw_docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFra
     get = lambda p: F.try_variant_get("v", p, "string")
     sub = lambda p: F.try_variant_get("v", p, "variant")
     created = F.coalesce(get("$.time.created").try_cast("double"), F.lit(0.0))
-    parts = F.transform(F.try_variant_get("v", "$.parts", "array<variant>"),
+    objects = F.filter(F.try_variant_get("v", "$.parts", "array<variant>"), lambda p: kind(p) == "OBJECT")
+    parts = F.transform(objects,
                         lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit("")))
     body = F.coalesce(F.nullif(get("$.summary.body"), F.lit("")),
                       F.when(kind(sub("$.parts")) == "ARRAY", F.nullif(F.array_join(parts, "\n"), F.lit(""))),
@@ -201,10 +202,12 @@ def norm_table_chat(sessions_tbl: DataFrame, messages_tbl: DataFrame, max_chars:
     time_col = next((c for c in ("created_at", "created") if c in cols), None)
     if text_col is None or time_col is None:
         raise ValueError("messages table needs parts/content and created_at/created")
-    m = messages_tbl.select(F.col("session_id"), "role", F.col(text_col).cast("string").alias("line"),
+    # a session id is unique inside one store only
+    store = [c for c in ("agent", "store") if c in cols and c in sessions_tbl.columns]
+    m = messages_tbl.select(*store, F.col("session_id").alias("unit_id"), "role", F.col(text_col).cast("string").alias("line"),
                             F.col(time_col).cast("string").alias("t"), F.col("id").alias("msg_id"))
-    rows = sessions_tbl.select(F.col("agent"), F.col("id").alias("unit_id")).join(
-        m.withColumnRenamed("session_id", "unit_id"), "unit_id").withColumn("v", F.try_parse_json("line"))
+    units = sessions_tbl.select(*{"agent": 0, **dict.fromkeys(store)}, F.col("id").alias("unit_id"))
+    rows = units.join(m, [*store, "unit_id"]).withColumn("v", F.try_parse_json("line"))
     parsed = flatten_content(F.col("v"), F.col("line"), max_chars)
     text = F.when(F.col("v").isNull(), F.col("line")).otherwise(parsed)
     rows = rows.withColumn("created", F.col("t").try_cast("double"))
