@@ -153,6 +153,13 @@ def calibration_verdict(results: DataFrame, runs: DataFrame) -> DataFrame:
     return r.select(final.alias("status"), F.array_join(reasons, "; ").alias("reasons"), "separating", "co_tested", "verified", "done")
 
 
+def content_hashes(docs: DataFrame, name: str, text: str) -> DataFrame:
+    """(name, hash) of the documents under each name: count, sum and xor, so that no two changes cancel each other."""
+    h = F.xxhash64(text)
+    parts = [F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)]
+    return docs.groupBy(F.col(name).alias("name")).agg(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256).alias("hash"))
+
+
 def fixture_audit(results: DataFrame, expected: DataFrame) -> DataFrame:
     """results and expected, both (variant, name, hash) -> (variant, name, issue): missing or mismatch."""
     got = results.select("variant", "name", F.col("hash").alias("got"))

@@ -29,6 +29,12 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """A cut table goes when the session's JVM ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage of an iteration: writes a table to the shared folder and reads it back.
 
@@ -38,4 +44,5 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = staging_path(spark, "cut")
     df.write.parquet(path)
+    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
