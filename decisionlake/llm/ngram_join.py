@@ -41,7 +41,7 @@ TREES, DEPTH, FLOOR = 24, 6, 4
 DEPTHS = range(FLOOR, DEPTH + 1)
 TARGET = 0.9995
 LEAST_AGREEMENT = 0.5
-BLOCK = 128                               # members of a node that one side of a task has, about
+BLOCK = 512                               # members of a node that one side of a task has, about
 SMALL_ROWS = 500_000                      # rows of (id, digest) that may be broadcast, about 20 MB
 NO_ID = -(1 << 63)
 
