@@ -165,6 +165,7 @@ class Code:
         self.logit = np.log(p / (1 - p)).astype(np.float32)
         share = np.maximum(1, np.floor(total / total.sum() * (SLOTS - n))).astype(np.int64)
         self.places = share.astype(np.uint64)
+        self.spread = np.arange(n - 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         self.base = np.concatenate([[0], np.cumsum(share)[:-1]]).astype(np.int64)
 
     def spell(self, buckets):
@@ -172,29 +173,37 @@ class Code:
         import numpy as np
         first, size = self.starts[buckets], self.starts[buckets + 1] - self.starts[buckets]
         token = np.repeat(np.arange(len(buckets)), size)
-        at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size) + first[token]
-        return token, self.nodes[at], self.bits[at]
+        at = np.arange(len(token)) + np.repeat(first - np.cumsum(size) + size, size)
+        return token, self.nodes.take(at), self.bits.take(at)
 
     def slot(self, context, node):
         """The place of (context, node); ``context`` is mixed already."""
         import numpy as np
-        spread = _mix(context + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-        return self.base[node] + ((spread * self.places[node]) >> np.uint64(32)).astype(np.int64)
+        spread = _mix(context + self.spread.take(node)) >> np.uint64(32)
+        return self.base.take(node) + ((spread * self.places.take(node)) >> np.uint64(32)).astype(np.int64)
 
 
-def contexts(hashes, before=(1, 1)):
-    """The contexts of order 1 and 2 of every token, given the two tokens before the first."""
+def contexts(hashes, before):
+    """The contexts of order 1 and 2 of texts in a row: their tokens, and the two tokens before each text's first."""
     import numpy as np
-    past = np.concatenate([np.array(before, np.uint64), hashes])
-    one = _mix(past[1:-1] + np.uint64(0x51ED270B7F4A7C15))
-    return one, _mix(one + past[:-2] * np.uint64(0xA0761D6478BD642F))
+    sizes = [len(h) for h in hashes]
+    begins = np.cumsum([0, *sizes[:-1]])
+    first = np.array(before, np.uint64).reshape(-1, 2)
+    flat = np.concatenate(hashes)
+    last = np.empty_like(flat)
+    last[1:], last[begins] = flat[:-1], first[:, 1]
+    second = np.empty_like(flat)
+    second[1:] = last[:-1]
+    second[begins] = first[:, 0]
+    one = _mix(last + np.uint64(0x51ED270B7F4A7C15))
+    return one, _mix(one + second * np.uint64(0xA0761D6478BD642F))
 
 
 def pieces(texts: list, at: int):
     """Of the texts that are longer than ``at`` tokens: their numbers, their tokens from there, and those tokens' contexts."""
     rows = [i for i, h in enumerate(texts) if len(h) > at]
     parts = [texts[i][at:at + PIECE] for i in rows]
-    return rows, parts, [contexts(p, (texts[i][at - 2], texts[i][at - 1]) if at else (1, 1)) for i, p in zip(rows, parts, strict=True)]
+    return rows, parts, contexts(parts, [(texts[i][at - 2], texts[i][at - 1]) if at else (1, 1) for i in rows])
 
 
 # context tables -----------------------------------------------------------------------------------
@@ -213,8 +222,7 @@ def context_tables(docs: DataFrame, code) -> DataFrame:
                 parts, both = pieces(tokens, piece)[1:]
                 token, node, bit = spelled.spell((np.concatenate(parts) & np.uint64(BUCKETS - 1)).astype(np.int64))
                 for order in range(ORDERS):
-                    context = np.concatenate([c[order] for c in both])
-                    np.add.at(counts[order].reshape(-1), spelled.slot(context[token], node) * 2 + bit, np.int32(1))
+                    np.add.at(counts[order].reshape(-1), spelled.slot(both[order].take(token), node) * 2 + bit, np.int32(1))
                 seen_any = True
         if seen_any:
             for order in range(ORDERS):
@@ -265,6 +273,17 @@ def _first_weights():
     return np.stack([1 - one - two, one, two + np.zeros_like(one)], axis=-1).reshape(-1, 3).astype(np.float32)
 
 
+def packed(logit, seen):
+    """A table's logits and classes as one number a place, so that a place is one read."""
+    import numpy as np
+    return (seen.astype(np.uint32) << np.uint32(16)) | logit.view(np.uint16)
+
+
+def unpacked(places):
+    import numpy as np
+    return places.astype(np.uint16).view(np.float16), (places >> np.uint32(16)).astype(np.int64)
+
+
 def _numbered(keys, size: int):
     """Which of ``size`` rows are used, the number of each key among them, and how many: all rows where keys are many."""
     import numpy as np
@@ -277,7 +296,7 @@ def _numbered(keys, size: int):
 def mixed_score(model: dict, texts: list):
     """The natural logarithm of each text's bits under the model; ``texts`` are token hashes."""
     import numpy as np
-    code, logit, seen = model["code"], model["logit"], model["seen"]
+    code, tables = model["code"], model["tables"]
     start = _first_weights()
     gates = len(start)
     weights = np.tile(start, (len(texts), 1))                          # (text, gate) x predictor
@@ -286,32 +305,35 @@ def mixed_score(model: dict, texts: list):
     score = np.zeros(len(texts))
     longest = max(map(len, texts), default=0)
     for piece in range(0, longest, PIECE):
-        rows, parts, both = pieces(texts, piece)
-        one, two = (np.concatenate([c[k] for c in both]) for k in (0, 1))
+        rows, parts, (one, two) = pieces(texts, piece)
         owner = np.repeat(rows, [len(p) for p in parts])
         segment = np.concatenate([np.arange(len(p)) // SEGMENT for p in parts])
         order = np.argsort(segment, kind="stable")                     # tokens by segment, texts side by side
         one, two, owner, segment = one[order], two[order], owner[order], segment[order]
         token, node, bit = code.spell((np.concatenate(parts)[order] & np.uint64(BUCKETS - 1)).astype(np.int64))
-        s1, s2 = code.slot(one[token], node), code.slot(two[token], node)
-        x = np.stack([code.logit[node], logit[0][s1].astype(np.float32), logit[1][s2].astype(np.float32)], axis=1)
-        gate = owner[token] * gates + seen[0][s1].astype(np.int64) * len(SEEN) + seen[1][s2]
-        owner, bit = owner[token], bit.astype(np.float32)
+        s1, s2 = code.slot(one.take(token), node), code.slot(two.take(token), node)
+        x = np.empty((len(node), 3), np.float32)
+        x[:, 0] = code.logit.take(node)
+        x[:, 1], seen_one = unpacked(tables[0].take(s1))
+        x[:, 2], seen_two = unpacked(tables[1].take(s2))
+        owner, bit = owner.take(token), bit.astype(np.float32)
+        gate = owner * gates + (seen_one * len(SEEN) + seen_two)
         edges = np.searchsorted(segment[token], np.arange(int(segment[-1]) + 2))
         for a, z in zip(edges[:-1], edges[1:], strict=True):
             g, xs, y, who = gate[a:z], x[a:z], bit[a:z], owner[a:z]
-            mixed = np.clip(np.einsum("ij,ij->i", weights[g], xs), -8, 8)
+            mixed = np.clip(np.einsum("ij,ij->i", weights.take(g, axis=0), xs), -8, 8)
             p = 1 / (1 + np.exp(-mixed))
             cell = who * MAP_BINS + np.rint((mixed + 8) * ((MAP_BINS - 1) / 16)).astype(np.int64)
-            final = (1 - MAP_SHARE) * p + MAP_SHARE * refined[cell]
-            score += np.bincount(who, np.log(np.where(y > 0, final, 1 - final)), len(texts))
+            known = refined.take(cell)
+            final = (1 - MAP_SHARE) * p + MAP_SHARE * known
+            score += np.bincount(who, np.log(np.abs(1 - y - final)), len(texts))      # of the bit that came
             error = y - p
             used, at, n = _numbered(g, len(weights))
             for k in range(3):
                 weights[used, k] += RATE * np.bincount(at, error * xs[:, k], n)
             used, at, n = _numbered(cell, len(refined))
             seen_here = np.maximum(np.bincount(at, minlength=n), 1)
-            drift = np.bincount(at, y - refined[cell], n) / seen_here
+            drift = np.bincount(at, y - known, n) / seen_here
             refined[used] += (1 - (1 - MAP_RATE) ** seen_here) * drift
     return score
 
@@ -348,17 +370,21 @@ def score_documents(docs: DataFrame) -> DataFrame:
     order = np.argsort(h)
     inside = np.array([by_bucket[b].tokens + by_bucket[b].kinds + 1 if b in by_bucket else 1 for b in range(BUCKETS)])
     model = spark.sparkContext.broadcast({
-        "code": code, "logit": logit, "seen": seen, "h": h[order], "c": np.array([] if common is None else common.c)[order],
+        "code": code, "tables": packed(logit, seen), "h": h[order], "c": np.array([] if common is None else common.c)[order],
         "inside": np.log10(inside)})
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
         m, hashed, row = model.value, _hasher(), TaskContext.get().partitionId() << 40
-        for b in slices(batches, BATCH):
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             tokens = hashed(texts)
-            bits = mixed_score(m, tokens) / np.log(10)
+            bits = np.empty(len(tokens))
+            by_length = sorted(range(len(tokens)), key=lambda i: len(tokens[i]))
+            for at in range(0, len(tokens), BATCH):                     # texts of like length side by side
+                group = by_length[at:at + BATCH]
+                bits[group] = mixed_score(m, [tokens[i] for i in group]) / np.log(10)
             known, logs, share, rare_h, rare_n = [], [], [], [], []
             for t in tokens:
                 share.append(float(m["inside"][(t & np.uint64(BUCKETS - 1)).astype(np.int64)].sum()))

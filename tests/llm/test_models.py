@@ -110,7 +110,8 @@ def test_rare_tokens_come_by_the_join(documents, monkeypatch):
 def small_model():
     code = lm.Code([i % 50 for i in range(lm.BUCKETS)])
     rng = np.random.default_rng(1)
-    return {"code": code, "logit": rng.normal(0, 1, (lm.ORDERS, lm.SLOTS)).astype(np.float16), "seen": rng.integers(0, 7, (lm.ORDERS, lm.SLOTS)).astype(np.uint8)}
+    logit = rng.normal(0, 1, (lm.ORDERS, lm.SLOTS)).astype(np.float16)
+    return {"code": code, "tables": lm.packed(logit, rng.integers(0, 7, logit.shape).astype(np.uint8))}
 
 
 def test_a_score_depends_on_its_text_alone(monkeypatch):
@@ -129,7 +130,7 @@ def test_the_code_is_a_distribution():
     p = 1 / (1 + np.exp(-model["code"].logit[node].astype(float)))
     total = np.exp(np.bincount(token, np.log(np.where(bit, p, 1 - p)))).sum()
     assert total == pytest.approx(1, abs=1e-4)
-    slots = model["code"].slot(lm.contexts(rng_hashes())[1][np.zeros(len(node), int)], node)
+    slots = model["code"].slot(lm.contexts([rng_hashes()], [(1, 1)])[1][np.zeros(len(node), int)], node)
     assert slots.min() >= 0 and slots.max() < lm.SLOTS
 
 
