@@ -60,7 +60,7 @@ def _block(b: Column, s: Column, depth: int) -> Column:
     return bind(head, text)
 
 
-def flatten_content(v: Column, raw: Column, max_chars: int, depth: int = 2) -> Column:
+def flatten_content(v: Column, raw: Column, max_chars: int, depth: int = 4) -> Column:
     """``v`` is the content as VARIANT, ``raw`` the same as JSON text (plain text for a string).
 
     A plain string is never cut; a block list is cut at ``max_chars`` with a marker.
