@@ -9,7 +9,8 @@ least ``threshold``. "Earlier" is the order of (doc_id, hash of the text, line n
    table is written once; it holds no whole sets.
 3. Lines with equal sets meet by aggregation alone; only the first line of each set goes on.
 4. Groups first: where several sets share one of their rarest words, each is compared with the group's earliest
-   member, which settles most members of a large group of near copies at one pair each; then again with the next one.
+   member, which settles most members of a large group of near copies at one pair each; those of large groups that are
+   left are compared with an even share of about ``LEADERS`` members. A set with many matches meets one of them soon.
 5. The sets that are still open meet all earlier sets in one equi-join on prefix words. The length, positional and
    bitmap filters, all of them exact bounds, are part of the join, so only likely pairs leave it.
 6. Every remaining pair is verified on the whole sets of words, told apart by 64-bit hashes.
@@ -38,7 +39,8 @@ THRESHOLD = 0.8
 BUCKETS = 1 << 16                         # of the word counts: one byte each in the plan, whatever the vocabulary
 SMALL_ROWS = 500_000                      # rows of (id, hash, line) that may be broadcast, about 15 MB
 HOT = 4                                   # sets that share a rare word before they are compared with the earliest first
-ROUNDS = 3                                # of that; each has new earliest members
+ROUNDS = 3                                # of that: first with the earliest member, then with a share of the group
+LEADERS = 16                              # members in such a share, about
 HOT_WORDS = 3                             # of how many of a set's rarest words
 AT = ["d", "th", "line_no"]               # a line's place
 NO_ID = -(1 << 63)
@@ -175,13 +177,19 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     size_class = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
     rare = sets.select(*AT, "n", "bm1", "bm2", size_class.alias("c"), F.explode(F.slice("prefix", 1, HOT_WORDS)).alias("w"))
     settled = led = None
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         fresh = rare if led is None else rare.join(_small(settled), AT, "left_anti").join(_small(led), AT, "left_anti")
-        hot = cut(fresh.groupBy("w", "c").count().where(F.col("count") >= HOT).select("w", "c"))
+        hot = cut(fresh.groupBy("w", "c").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= (HOT if turn == 0 else LEADERS)))
         in_hot = fresh.join(_small(hot), ["w", "c"])
-        leaders = cut(in_hot.groupBy("w", "c").agg(F.min(F.struct(*AT, "n", "bm1", "bm2")).alias("l")).select("w", "c", "l.*"))
-        led = cut(leaders.select(*AT).distinct() if led is None else leaders.select(*AT).unionByName(led).distinct())
-        pairs = _pairs(in_hot.alias("a").join(_small(leaders).alias("b"), ["w", "c"]).where(_before("b", "a") & _likely("a", "b", bounds, False)))
+        if turn == 0:
+            leaders = in_hot.groupBy("w", "c").agg(F.min(F.struct(*AT, "n", "bm1", "bm2")).alias("l")).select("w", "c", "l.*")
+        else:                                               # an even share of the group, about LEADERS members
+            chosen = F.pmod(F.xxhash64(*AT, F.lit(turn)), F.ceil(F.col("members") / LEADERS)) == 0
+            leaders = in_hot.where(chosen).select("w", "c", *AT, "n", "bm1", "bm2")
+        leaders = cut(leaders)
+        if turn == 0:
+            led = cut(leaders.select(*AT).distinct())
+        pairs = _pairs(in_hot.drop("members").alias("a").join(_small(leaders).alias("b"), ["w", "c"]).where(_before("b", "a") & _likely("a", "b", bounds, False)))
         more = _verified(documents, pairs, bounds)
         settled = cut(more if settled is None else settled.unionByName(more).distinct())
 
