@@ -98,8 +98,9 @@ class WordEncoder:
         new = list(words_and_tails.difference(self._words))
         made = dict(zip(new, self._encode_words(new), strict=True))
         self._words.update((w, v) for w, v in made.items() if len(w) <= CACHED_LENGTH)
-        get = self._words.get
-        return [(made.get(w) if (v := get(w)) is None else v) + (get(t) if t else b"") for w, t in zip(words, tails, strict=True)]
+        known = self._words
+        get = lambda w: made[w] if w in made else known[w]
+        return [get(w) + (get(t) if t else b"") for w, t in zip(words, tails, strict=True)]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         import numpy as np

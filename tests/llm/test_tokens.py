@@ -43,6 +43,13 @@ def test_word_encoder_is_the_library(words, text):
     assert ids_of(words.encode([text])[0]) == words._tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("dots", [64, 65, 100, 5000])
+def test_dot_leaders_after_a_letter(words, dots):
+    for text in ("Introduction" + "." * dots + " 5", "é" + ".," * dots, "a" * 100 + "." * dots):
+        for _ in range(2):                                  # new, then as far as the caches know it
+            assert ids_of(words.encode([text])[0]) == words._tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXTS)
 def test_byte_bpe_is_the_rank_merge(bytes_bpe, oracle, text):
