@@ -8,7 +8,8 @@ transducers rewrites a text while every character that comes out keeps the span
 3. runs of spelled digits (with ``plus``, ``dot``, ``dash`` and numerals between) become digits.
 
 The same detectors then run over the rewritten text, and what they find is mapped back. A find is added only if it holds
-a rewritten character and does not overlap a plain find of its kind, so plain spans always stay as they are.
+a rewritten character and does not lie inside a plain find of its kind. Plain spans always stay as they are, so a disguised
+one may overlap the plain fragment it completes.
 
 Texts without a trigger (a look-alike, a bracketed word, a bare ``dot``, spelled digits) are not rewritten. All scans are
 linear in the text, however long. Defined results: a null text is empty; every row gives one row, repeated ones
@@ -210,7 +211,7 @@ def find_disguised(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[s
         if 1 not in t.changed[a:z]:
             continue
         start, end = t.starts[a], t.ends[z - 1]
-        if not any(k == kind and s < end and start < e for k, s, e in plain):
+        if not any(k == kind and s <= start and end <= e for k, s, e in plain):
             out.append((kind, start, end))
     return out
 

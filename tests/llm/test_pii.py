@@ -50,6 +50,24 @@ def test_disguises_map_back(text, kind, found):
     assert (kind, found) in [(k, text[a:z]) for k, a, z in spans if (k, a, z) not in base]
 
 
+@pytest.mark.parametrize("text, kind, found, redacted", [
+    ("to jоhn@example.com now", "email", "jоhn@example.com", "to <EMAIL> now"),
+    ("to j@mail.exаmple.com now", "email", "j@mail.exаmple.com", "to <EMAIL> now"),
+    ("to j@ma​il.example.com now", "email", "j@ma​il.example.com", "to <EMAIL> now"),
+    ("call +49 151 2345678９ now", "phone", "+49 151 2345678９", "call <PHONE> now"),
+    ("at 10.0.0.1２ now", "ip", "10.0.0.1２", "at <IP> now"),
+])
+def test_disguises_around_a_plain_fragment(text, kind, found, redacted):
+    base, spans = pii.find(text)
+    assert (kind, found) in [(k, text[a:z]) for k, a, z in spans] and set(base) <= set(spans)
+    assert pii.replace(text, spans) == redacted
+
+
+def test_rewritten_characters_beside_a_plain_find_change_nothing():
+    text = "see a@b.com, о 10.0.0.1 ＋ x"
+    assert pii.find(text)[0] == pii.find(text)[1]
+
+
 @pytest.mark.parametrize("text", ["he looked at the dot", "I work at example.com", "one two three", "a [at] b", "Привет, как дела", "un deux trois soleil", ""])
 def test_clean_texts_stay_clean(text):
     assert pii.find(text) == ([], [])
