@@ -5,7 +5,12 @@ transducers rewrites a text while every character that comes out keeps the span
 
 1. look-alike characters become the ASCII character they imitate, invisible ones vanish;
 2. ``[at]``, ``(dot)`` and the like become ``@`` and ``.``; a bare ``name at host dot tld`` does so as a whole;
-3. runs of spelled digits (with ``plus``, ``dot``, ``dash`` and numerals between) become digits.
+3. spelled digits next to another digit or sign (``plus``, ``dot``, ``dash``, numerals) become digits.
+
+Separators in a run of spelled digits can be read in several ways, so each kind has readings in order (:data:`READINGS`), and a
+later one adds only what overlaps no find of an earlier one. *Cut*: separators stay, commas and sentence points end a number.
+*Grouped*: they do not where groups of spelled digits follow each other. *Joined*: spelled digits of one part of an address
+stand together. *Whole*: a run of ``MIN_SPELLED`` spelled digits or more is one number, whatever separates it.
 
 The same detectors then run over the rewritten text, and what they find is mapped back. A find is added only if it holds
 a rewritten character and does not lie inside a plain find of its kind. Plain spans always stay as they are, so a disguised
@@ -54,7 +59,8 @@ LOOKALIKES = {
     "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "․": ".", "。": ".", "·": ".", "﹒": ".", "﹫": "@",
 }
 INVISIBLE = "­​‌‍⁠﻿"
-MIN_SPELLED = 4                                       # spelled digits that make a run
+MIN_SPELLED = 4                                       # spelled digits that make a run one number in the last reading
+READINGS = {"email": ["whole", "cut"], "ip": ["joined", "whole"], "card": ["cut", "grouped", "whole"], "phone": ["grouped", "cut", "whole"]}
 
 
 @cache
@@ -116,7 +122,8 @@ _TRIGGER = re.compile(rf"{_OPEN}(?:[aA][tT]|@|[dD][oO][tT]|[pP][oO][iI][nN][tT]|
 _BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: [dD][oO][tT] [A-Za-z0-9._%+-]++)*+(?:( [aA][tT] )|@)[A-Za-z0-9-]++(?:(?: [dD][oO][tT] |\.)[A-Za-z0-9-]++)++")
 _BARE_PART = re.compile(r" ([aA][tT]|[dD][oO][tT]) ")
 _ITEM = "|".join(sorted([*DIGIT_WORDS, *SIGN_WORDS], key=len, reverse=True))
-_RUN = re.compile(rf"(?<!\w)(?:(?:{_ITEM})(?!\w)|[0-9+])(?:[ ,.\-]{{0,3}}(?:(?<!\w)(?:{_ITEM})(?!\w)|[0-9+])){{{MIN_SPELLED - 1},}}", re.I)
+_RUN = re.compile(rf"(?<!\w)(?:(?:{_ITEM})(?!\w)|[0-9+])(?:[ ,.\-]{{0,3}}(?:(?<!\w)(?:{_ITEM})(?!\w)|[0-9+]))+", re.I)
+_LETTER = re.compile(r"[^\W0-9_]")
 _RUN_ITEM = re.compile(rf"(?:{_ITEM})|[0-9+]", re.I)
 _SPLIT = str.maketrans({c: " " for c in "-,.()[]\n\t"})
 
@@ -127,6 +134,11 @@ class Traced:
     def __init__(self, text: str):
         self.text, self.starts, self.ends, self.changed = text, range(len(text)), range(1, len(text) + 1), None
 
+    def copy(self) -> Traced:
+        out = Traced("")
+        out.text, out.starts, out.ends, out.changed = self.text, self.starts, self.ends, self.changed
+        return out
+
     def rewrite(self, edits: list[tuple[int, int, list[tuple[str, int, int]]]]) -> None:
         """Replaces [start, end) of the present text by characters that each cover a span of it."""
         if not edits:
@@ -170,14 +182,59 @@ def _show_bare(t: Traced) -> None:
     t.rewrite(edits)
 
 
-def _show_digits(t: Traced) -> None:
+def _runs(text: str) -> list[tuple[int, int, list[tuple[str, int, int]]]]:
+    """(start, end, items) of every run of digits and signs that holds a spelled digit."""
+    out = []
+    for m in _RUN.finditer(text):
+        if _LETTER.search(m[0]):
+            items = [(p[0].lower(), m.start() + p.start(), m.start() + p.end()) for p in _RUN_ITEM.finditer(m[0])]
+            if any(w in DIGIT_WORDS for w, _, _ in items):
+                out.append((m.start(), m.end(), items))
+    return out
+
+
+def _grouped(items: list[tuple[str, int, int]], breaks: list[int]) -> set[int]:
+    """The breaks of a run that only set off groups of spelled digits: not those before a numeral or a last lone digit."""
+    edges = [0, *[k + 1 for k in breaks], len(items)]
+    size = [z - a for a, z in zip(edges[:-1], edges[1:], strict=True)]
+    return {k for n, k in enumerate(breaks) if items[k][0] in DIGIT_WORDS and items[k + 1][0] in DIGIT_WORDS and (size[n + 1] > 1 or size[n] == 1)}
+
+
+def _gap(gap: str, at: int, left: str, right: str, joined: bool) -> list[tuple[str, int, int]]:
+    """What stands between two items of a run that no break parts."""
+    spelled = (left in DIGIT_WORDS) + (right in DIGIT_WORDS)
+    if not gap or left in SIGN_WORDS or right in SIGN_WORDS or left == "+" and spelled:
+        return []
+    if not spelled or gap == ".":
+        return [(ch, at + i, at + i + 1) for i, ch in enumerate(gap)]
+    if joined and spelled == 2:
+        return []
+    return [("-" if "-" in gap else " ", at, at + len(gap))]
+
+
+def _show_digits(t: Traced, runs: list, reading: str) -> None:
     edits = []
-    for m in _RUN.finditer(t.text):
-        items = [(p[0].lower(), m.start() + p.start(), m.start() + p.end()) for p in _RUN_ITEM.finditer(m[0])]
-        if sum(w in DIGIT_WORDS for w, _, _ in items) < MIN_SPELLED:
-            continue
+    for start, end, items in runs:
         chars = [(DIGIT_WORDS.get(w) or SIGN_WORDS.get(w) or w, a, z) for w, a, z in items]
-        edits.append((m.start(), m.end(), chars))
+        if reading == "whole":
+            if sum(w in DIGIT_WORDS for w, _, _ in items) >= MIN_SPELLED:
+                edits.append((start, end, chars))
+            continue
+        gaps = [t.text[z:a] for (_, _, z), (_, a, _) in zip(items[:-1], items[1:], strict=True)]
+        breaks = [k for k, gap in enumerate(gaps) if "," in gap or "." in gap and len(gap) > 1]
+        open_breaks = _grouped(items, breaks) if reading == "grouped" else ()
+        closed = set(breaks).difference(open_breaks)
+        shown = chars[:1]
+        for k, gap in enumerate(gaps):
+            at = items[k][2]
+            if k in closed:
+                shown.append(("\n", at, at + len(gap)))
+            elif k in open_breaks:
+                shown.append((" ", at, at + len(gap)))
+            else:
+                shown += _gap(gap, at, items[k][0], items[k + 1][0], reading == "joined")
+            shown.append(chars[k + 1])
+        edits.append((start, end, shown))
     t.rewrite(edits)
 
 
@@ -191,6 +248,13 @@ def _has_lookalike(text: str) -> bool:
     return "­" in text or "·" in text
 
 
+def _mapped(t: Traced) -> list[tuple[str, int, int]]:
+    """The source spans of what the detectors find at rewritten characters."""
+    if t.changed is None:
+        return []
+    return [(kind, t.starts[a], t.ends[z - 1]) for kind, a, z in find_plain(t.text) if 1 in t.changed[a:z]]
+
+
 def find_disguised(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """What only the rewritten text shows, as source spans."""
     odd = _has_lookalike(text)
@@ -202,18 +266,23 @@ def find_disguised(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[s
         _show_brackets(t)
     if " dot " in low:
         _show_bare(t)
-    if not DIGIT_WORDS.keys().isdisjoint(low.translate(_SPLIT).split(" ")):
-        _show_digits(t)
-    if t.changed is None:
-        return []
-    out = []
-    for kind, a, z in find_plain(t.text):
-        if 1 not in t.changed[a:z]:
-            continue
-        start, end = t.starts[a], t.ends[z - 1]
-        if not any(k == kind and s <= start and end <= e for k, s, e in plain):
-            out.append((kind, start, end))
-    return out
+    runs = [] if DIGIT_WORDS.keys().isdisjoint(low.translate(_SPLIT).split(" ")) else _runs(t.text)
+    if not runs:
+        found = _mapped(t)
+    else:
+        by_reading = {}
+        for name in ("cut", "grouped", "joined", "whole"):
+            shown = t.copy()
+            _show_digits(shown, runs, name)
+            same = next((r for r in by_reading.values() if r[0] == shown.text), None)
+            by_reading[name] = same or (shown.text, _mapped(shown))
+        found = []
+        for kind, names in READINGS.items():
+            own = []
+            for name in names:
+                own += [(k, a, z) for k, a, z in by_reading[name][1] if k == kind and not any(s < z and a < e for _, s, e in own)]
+            found += own
+    return [(kind, a, z) for kind, a, z in found if not any(k == kind and s <= a and z <= e for k, s, e in plain)]
 
 
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

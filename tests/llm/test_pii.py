@@ -63,6 +63,33 @@ def test_disguises_around_a_plain_fragment(text, kind, found, redacted):
     assert pii.replace(text, spans) == redacted
 
 
+CARD_WORDS = "four" + " one" * 15
+PHONE_WORDS = "plus four nine one five one two three four five six seven eight"
+
+
+@pytest.mark.parametrize("text, kind, found", [
+    (f"card {CARD_WORDS}, 12/27", "card", CARD_WORDS),
+    (f"card {CARD_WORDS}. 2 items", "card", CARD_WORDS),
+    (f"card {CARD_WORDS}, two items", "card", CARD_WORDS),
+    (f"call {PHONE_WORDS}, 24 hours", "phone", PHONE_WORDS),
+    (f"call {PHONE_WORDS}, 24/7/365", "phone", PHONE_WORDS),
+    ("call +49 151 two three four 5678", "phone", "+49 151 two three four 5678"),
+    ("call +49 151 234 five 678.", "phone", "+49 151 234 five 678"),
+    ("at 192 dot 168 dot one dot 12", "ip", "192 dot 168 dot one dot 12"),
+    ("four one one one, one one one one, one one one one, one one one one", "card", "four one one one, one one one one, one one one one, one one one one"),
+    ("plus four nine, one five one, two three four, five six seven eight", "phone", "plus four nine, one five one, two three four, five six seven eight"),
+    ("john one two three four [at] gmail.com", "email", "one two three four [at] gmail.com"),
+])
+def test_spelled_digits_end_at_their_neighbours(text, kind, found):
+    assert [(k, text[a:z]) for k, a, z in pii.find(text)[1]] == [(kind, found)]
+
+
+@pytest.mark.parametrize("text", ["two 10.0.0.1 hosts", "one two@x.com", "one.two@x.com", "one, 4111111111111111", "at ten, one, 2 or three"])
+def test_spelled_digits_beside_a_plain_find_change_nothing(text):
+    base, spans = pii.find(text)
+    assert base == spans
+
+
 def test_rewritten_characters_beside_a_plain_find_change_nothing():
     text = "see a@b.com, о 10.0.0.1 ＋ x"
     assert pii.find(text)[0] == pii.find(text)[1]
