@@ -11,17 +11,18 @@ pair is looked at once: in the first tree where it agrees, and at the longest pr
 
 *Hot nodes.* A node of many members is cut into blocks, and every two blocks are compared in a task of their own, so a task
 has about two blocks of members at most. Pairs live only inside such a task: it returns, for each member, how many verified
-links it has and the smallest id it is linked to within the task. No pair leaves a task.
+links it has and the first member it is linked to within the task. No pair leaves a task.
 
 *Verification* is the Jaccard likeness of the whole shingle sets, fetched for members of candidate pairs only. A pair is
 dropped before only if its signatures agree in less than ``LEAST_AGREEMENT`` of the values, which at the threshold has a
 chance below 1e-15.
 
-*Classes* are the connected components of the links, found by alternating star contractions over tables.
+*Classes* are the connected components of the links between sets, found by alternating star contractions over tables. Sets
+are nodes by a hash of their digest, never by an id, which several texts may share; ids are looked up afterwards.
 
 Defined results: texts without a word, null ones too, are copies of each other and link to nothing; rows with equal
 id are each judged by their own text; the class id is the smallest document id in it (null ids are smallest and give a
-null class id); links count other sets, so exact copies are not links; an empty table gives an empty result.
+null class id), so two classes may share an id; links count other sets, so exact copies are not links; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -251,17 +252,18 @@ def _linked(threshold: float, depth: int, before: int | None):
             ids = np.asarray(group.column("rid"))
             links = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
             unseen = [np.bincount(i, 1 / chance(likeness, d) - 1, len(ids)) for d in DEPTHS]
-            root = ids.copy()
-            while True:                                     # the smallest id each member is linked to within the task
+            root = np.arange(len(ids))
+            while True:                                     # the first row each member is linked to within the task
                 was = root.copy()
                 np.minimum.at(root, i, was[j])
                 np.minimum.at(root, j, was[i])
                 if (root == was).all():
                     break
             rows = np.flatnonzero(links)
+            digests = group.column("digest").combine_chunks()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows]), group.column("digest").combine_chunks().take(pa.array(rows)), pa.array(links[rows].astype(np.int64)),
-                 pa.array(root[rows]), *[pa.array(u[rows]) for u in unseen]], ["rid", "digest", "links", "root", *[f"unseen{d}" for d in DEPTHS]])
+                [pa.array(ids[rows]), digests.take(pa.array(rows)), pa.array(links[rows].astype(np.int64)),
+                 digests.take(pa.array(root[rows])), *[pa.array(u[rows]) for u in unseen]], ["rid", "digest", "links", "root", *[f"unseen{d}" for d in DEPTHS]])
     return run
 
 
@@ -297,7 +299,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """(rid, digest, links, root) of every task's linked members, over all depths that were needed."""
+    """(rid, digest, links, root) of every task's linked members, over all depths that were needed; ``root`` is a digest."""
     found, before, depth, rows = None, None, DEPTH, _rows(docs)
     while True:
         tasks = _tasks(reps, depth).join(reps.select("rid", "digest", "sig"), ["rid", "digest"])
@@ -308,7 +310,7 @@ def links(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, target
         sets = _signatures(rows.join(ids, "d", "left_semi"), True).join(_small(wanted), ["d", "digest"], "left_semi").dropDuplicates(["d", "digest"])
         full = tasks.join(sets.select(F.col("d").alias("rid"), "digest", "sig", "hashes"), ["rid", "digest"])
         got = cut(_dealt(full.select("rid", "digest", *TASK, "blk", "sig", "hashes")).mapInArrow(
-            _linked(threshold, depth, before), "rid bigint, digest binary, links bigint, root bigint, " + ", ".join(f"unseen{d} double" for d in DEPTHS)))
+            _linked(threshold, depth, before), "rid bigint, digest binary, links bigint, root binary, " + ", ".join(f"unseen{d} double" for d in DEPTHS)))
         found = got if found is None else found.unionByName(got)
         total, unseen = found.agg(F.coalesce(F.sum("links"), F.lit(0)) / 2, F.coalesce(F.sum(f"unseen{depth}"), F.lit(0.0))).first()
         estimate = total / (total + unseen) if total else 1.0
@@ -328,29 +330,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
 
 
 def _marked(docs: DataFrame, threshold: float, target: float) -> DataFrame:
+    """(d, th, node, class, n_links, n_copies) of every row; ``node`` tells classes apart and is null for a row that is alone."""
     members = cut(_signatures(_rows(docs)))
     reps = cut(members.groupBy("digest").agg(F.min("d").alias("rid"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     found = links(docs, reps.where("n > 0"), threshold, target)
     degree = found.groupBy("rid", "digest").agg(F.sum("links").alias("n_links"))
-    roots = components(found.select(F.col("rid").alias("u"), F.col("root").alias("v")))
-    classes = (reps.select("digest", "rid", "n_copies").join(degree, ["rid", "digest"], "left")
-               .join(roots.withColumnRenamed("node", "rid"), "rid", "left")
-               .select("digest", F.coalesce("root", "rid").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"))
+    roots = components(found.select(F.xxhash64("digest").alias("u"), F.xxhash64("root").alias("v")))
     # most documents are alone: only the others meet their class
-    classes = cut(classes.where("n_links > 0 OR n_copies > 1"))
+    classes = cut(reps.select("digest", "rid", "n_copies", F.xxhash64("digest").alias("node")).join(degree, ["rid", "digest"], "left")
+                  .where("n_links > 0 OR n_copies > 1").join(roots, "node", "left")
+                  .select("digest", "rid", F.coalesce("root", "node").alias("node"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"))
+    least = cut(classes.groupBy("node").agg(F.min("rid").alias("class")))
+    classes = cut(classes.drop("rid").join(_small(least), "node"))
     return members.join(_small(classes), "digest", "left").select(
-        "d", "th", F.coalesce("class", "d").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "d", "th", "node", F.coalesce("class", "d").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """``docs`` with one row of each class: the one that gave the class its id. All columns stay.
+    """``docs`` with one row of each class: the one with the smallest id, and of texts under one id that of the smallest hash.
 
-    Rows that repeat both id and text are one; different texts under the class's id all stay.
+    All columns stay. Rows that repeat both id and text are one.
     """
-    marked = cut(_marked(docs, threshold, target).select(F.col("d").alias("__d"), F.col("th").alias("__th"), "class"))
-    gone = cut(marked.where("__d <> class").select("__d", "__th").distinct())
-    twice = cut(marked.where("__d = class").groupBy("__d", "__th").count().where("count > 1").select("__d", "__th"))
+    marked = cut(_marked(docs, threshold, target).where("node IS NOT NULL").select(F.col("d").alias("__d"), F.col("th").alias("__th"), "node"))
+    first = cut(marked.groupBy("node").agg(F.min("__d").alias("__d"), F.min_by("__th", F.struct("__d", "__th")).alias("__th")))
+    rows = marked.groupBy("__d", "__th").count().join(_small(first.select("__d", "__th", F.lit(True).alias("kept"))), ["__d", "__th"], "left")
+    rows = cut(rows.where("kept IS NULL OR count > 1"))
+    gone, twice = rows.where("kept IS NULL").select("__d", "__th"), rows.where("kept").select("__d", "__th")
     own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__d")) & (F.xxhash64("text") == F.col("__th"))
     kept = docs.join(_small(gone), own, "left_anti")
     if twice.isEmpty():

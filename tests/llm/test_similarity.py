@@ -122,6 +122,20 @@ def test_ngram_join_edges(edges, no_rows):
         (False, 0, "no i"), (True, 1, "a b "), (True, 2, ""), (True, 5, "one "), (True, 6, "wörd"), (True, 7, "othe")]
 
 
+def test_texts_that_share_an_id_keep_their_own_classes(spark):
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abce")
+    rows = [(3, a + " x"), (7, a), (7, b), (8, b), (9, b + " y"), (7, e), (7, e + " z"),     # id 7: near 3, first of 8 and 9, and a pair of its own
+            (None, a + " w"), (None, c), (None, c + " u"), (11, c + " v"), (None, b.upper()), (12, b.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.class_id, r.n_links, r.n_copies): r.n for r in ngram_join.near_duplicates(docs).groupBy("doc_id", "class_id", "n_links", "n_copies").count()
+           .withColumnRenamed("count", "n").where("doc_id = 7").collect()}
+    assert got == {(None, 2, 1): 1, (7, 1, 2): 1, (7, 1, 1): 2}
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect()]
+    assert [d for d, t in kept if t[:1] == "a"] == [None] and [d for d, t in kept if t[:1] == "b"] == [7]
+    assert [d for d, t in kept if t[:1] == "e"] == [7] and [d for d, t in kept if t[:1] == "c"] == [None]
+    assert [d for d, t in kept if t[:1] == "B"] == [None] and len(kept) == 5
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 400)] + [(7, 3), (9, 7), (5, 5)], "u long, v long")
     root = {r.node: r.root for r in ngram_join.components(edges).collect()}
