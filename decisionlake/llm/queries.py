@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlake.llm import byte_bpe, line_dedup, lm_scoring, lz_fingerprint, ngram_join, packing, pii, quality_rules, token_files, twins, warc
+from decisionlake.llm import (byte_bpe, line_dedup, lm_scoring, lz_fingerprint, ngram_join, packing, pii, prefix_trie, quality_rules, simhash, token_files, twins,
+                              warc, whitening)
 from decisionlake.llm.common import table
 from decisionlake.session import staging_path
 
@@ -78,3 +79,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_context_mixing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_simhash_tiles")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_qdwh_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(table(spark, sf_dir, "embeddings"))
