@@ -44,8 +44,12 @@ def lines(spark, d):
                  content=F.col("text"), created_at=ts * 1000, cwd=F.col("cwd"))
     tool = F.struct(F.lit("tool_use").alias("type"), F.lit("grep").alias("name"), F.struct(
         F.lit("a,b: \"c").alias("q"), F.col("pos").alias("n")).alias("input"))
+    # tool results inside tool results, 3, 5 or 40 deep
+    levels = F.get(F.array(F.lit(3), F.lit(5), F.lit(40)), (F.col("pos") % 4).cast("int") - 1)
+    deep = F.concat(F.repeat(F.lit('{"type":"tool_result","content":['), levels), F.to_json(F.struct(F.lit("text").alias("type"), F.concat(
+        F.lit("deep "), F.col("pos").cast("string")).alias("text"))), F.repeat(F.lit("]}"), levels))
     blocks = F.concat(F.lit("["), F.to_json(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))), F.lit(","),
-                      F.to_json(tool), F.lit("]"))
+                      F.to_json(tool), F.when(F.col("pos") % 4 > 0, F.concat(F.lit(","), deep)).otherwise(""), F.lit("]"))
     delta = F.concat(F.lit('{"role":"'), role, F.lit('","ts":"'), F.coalesce(ts.cast("string"), F.lit("")),
                      F.lit('","message":{"content":'), blocks, F.lit("}}"))
     a = F.col("agent")
@@ -56,7 +60,8 @@ def lines(spark, d):
 BLOCKS["o_turns"] = """
 SELECT agent, unit_id, pos, role, ts_s, cwd, trim(CASE WHEN agent IN ('beta', 'delta') AND length(t) > 600
          THEN left(t, 600) || chr(10) || '…[truncated ' || CAST(length(t) - 600 AS VARCHAR) || ' chars]' ELSE t END, ' ' || chr(9) || chr(10) || chr(13)) AS text
-FROM (SELECT *, CASE WHEN agent = 'delta' THEN CASE WHEN text = '' THEN '' ELSE text || chr(10) END || '[tool_use: grep] {"q": "a,b: \\"c", "n": ' || CAST(pos AS VARCHAR) || '}' ELSE text END AS t
+FROM (SELECT *, CASE WHEN agent = 'delta' THEN CASE WHEN text = '' THEN '' ELSE text || chr(10) END || '[tool_use: grep] {"q": "a,b: \\"c", "n": ' || CAST(pos AS VARCHAR) || '}'
+        || CASE WHEN pos % 4 > 0 THEN chr(10) || left(repeat('[tool_result] ', [3, 5, 40][pos % 4]) || 'deep ' || CAST(pos AS VARCHAR), 314) ELSE '' END ELSE text END AS t
       FROM f_messages WHERE role IN ('user', 'assistant')) x
 """
 _TURNS = "SELECT agent, unit_id, pos, role, text, ts_s FROM o_turns WHERE text <> ''"
