@@ -9,8 +9,8 @@ least ``threshold``. "Earlier" is the order of (doc_id, hash of the text, line n
    table is written once; it holds no whole sets.
 3. Lines with equal sets meet by aggregation alone; only the first line of each set goes on.
 4. Groups first: where several sets share one of their rarest words, each is compared with the group's earliest
-   member, which settles most members of a large group of near copies at one pair each; those of large groups that are
-   left are compared with an even share of about ``LEADERS`` members. A set with many matches meets one of them soon.
+   member, which settles most members of a large group of near copies; of what is left, large groups do so again, up to
+   ``ROUNDS`` times, each with its next earliest member. A round costs one pair a member and word, whatever the group's size.
 5. The sets that are still open meet all earlier sets in one equi-join on prefix words. The length, positional and
    bitmap filters, all of them exact bounds, are part of the join, so only likely pairs leave it.
 6. Every remaining pair is verified on the whole sets of words, told apart by 64-bit hashes.
@@ -39,8 +39,8 @@ THRESHOLD = 0.8
 BUCKETS = 1 << 16                         # of the word counts: one byte each in the plan, whatever the vocabulary
 SMALL_ROWS = 500_000                      # rows of (id, hash, line) that may be broadcast, about 15 MB
 HOT = 4                                   # sets that share a rare word before they are compared with the earliest first
-ROUNDS = 3                                # of that: first with the earliest member, then with a share of the group
-LEADERS = 16                              # members in such a share, about
+ROUNDS = 4                                # of that
+LARGE = 16                                # sets left in a group for another round
 HOT_WORDS = 3                             # of how many of a set's rarest words
 AT = ["d", "th", "line_no"]               # a line's place
 NO_ID = -(1 << 63)
@@ -179,17 +179,12 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     settled = led = None
     for turn in range(ROUNDS):
         fresh = rare if led is None else rare.join(_small(settled), AT, "left_anti").join(_small(led), AT, "left_anti")
-        hot = cut(fresh.groupBy("w", "c").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= (HOT if turn == 0 else LEADERS)))
-        in_hot = fresh.join(_small(hot), ["w", "c"])
-        if turn == 0:
-            leaders = in_hot.groupBy("w", "c").agg(F.min(F.struct(*AT, "n", "bm1", "bm2")).alias("l")).select("w", "c", "l.*")
-        else:                                               # an even share of the group, about LEADERS members
-            chosen = F.pmod(F.xxhash64(*AT, F.lit(turn)), F.ceil(F.col("members") / LEADERS)) == 0
-            leaders = in_hot.where(chosen).select("w", "c", *AT, "n", "bm1", "bm2")
-        leaders = cut(leaders)
-        if turn == 0:
-            led = cut(leaders.select(*AT).distinct())
-        pairs = _pairs(in_hot.drop("members").alias("a").join(_small(leaders).alias("b"), ["w", "c"]).where(_before("b", "a") & _likely("a", "b", bounds, False)))
+        leaders = fresh.groupBy("w", "c").agg(F.min(F.struct(*AT, "n", "bm1", "bm2")).alias("l"), F.count(F.lit(1)).alias("members"))
+        leaders = cut(leaders.where(F.col("members") >= (HOT if turn == 0 else LARGE)).select("w", "c", "l.*"))
+        if turn and leaders.isEmpty():
+            break
+        led = cut(leaders.select(*AT).distinct() if led is None else led.unionByName(leaders.select(*AT)).distinct())
+        pairs = _pairs(fresh.alias("a").join(_small(leaders).alias("b"), ["w", "c"]).where(_before("b", "a") & _likely("a", "b", bounds, False)))
         more = _verified(documents, pairs, bounds)
         settled = cut(more if settled is None else settled.unionByName(more).distinct())
 
@@ -205,32 +200,34 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def _removed(docs: DataFrame, threshold: float) -> DataFrame:
     gone = later_matches(docs, threshold)
     return cut(gone.groupBy("d", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-               .withColumnsRenamed({"d": "__d", "th": "__th", "removed": "__removed"}))
+               .withColumnsRenamed({"d": "gone_d", "th": "gone_th"}))
 
 
-def _with_removed(docs: DataFrame, threshold: float) -> DataFrame:
-    gone = _removed(docs, threshold)
-    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__d")) & (F.xxhash64("text") == F.col("__th"))
-    return docs.join(gone, own, "left")
+def _with_removed(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """``rows`` (own_id, own_th, ...) with the lines that go from each."""
+    own = (F.col("own_id") == F.col("gone_d")) & (F.col("own_th") == F.col("gone_th"))
+    return rows.join(_removed(docs, threshold), own, "left")
+
+
+def _own() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("own_id"), F.xxhash64("text").alias("own_th")]
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) of every document; ``removed`` lists line numbers, from 0."""
-    rows = docs.select("doc_id", "text")
-    none = F.array().cast("array<int>")
-    sized = rows.select("doc_id", F.xxhash64("text").alias("__own"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"), F.col("text").isNull().alias("__null"))
-    gone = _removed(rows, threshold)
-    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__d")) & (F.col("__own") == F.col("__th"))
-    return sized.join(gone, own, "left").select(
-        "doc_id", F.when(F.col("__null"), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__removed", none).alias("removed"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    rows = docs.select("doc_id", *_own(), n.cast("long").alias("n_lines"))
+    return _with_removed(rows, docs.select("doc_id", "text"), threshold).select(
+        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the lines that go; all columns stay."""
     def rebuilt(lines: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(bind(F.split("text", "\n"), rebuilt))
-    return _with_removed(docs, threshold).withColumn("text", text).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), *_own())        # no column of docs can clash
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(bind(F.split("row.text", "\n"), rebuilt))
+    return _with_removed(rows, docs.select("doc_id", "text"), threshold).select(F.col("row").withField("text", text).alias("row")).select("row.*")

@@ -352,14 +352,15 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARG
 
     All columns stay. Rows that repeat both id and text are one.
     """
-    marked = cut(_marked(docs, threshold, target).where("node IS NOT NULL").select(F.col("d").alias("__d"), F.col("th").alias("__th"), "node"))
-    first = cut(marked.groupBy("node").agg(F.min("__d").alias("__d"), F.min_by("__th", F.struct("__d", "__th")).alias("__th")))
-    rows = marked.groupBy("__d", "__th").count().join(_small(first.select("__d", "__th", F.lit(True).alias("kept"))), ["__d", "__th"], "left")
+    marked = cut(_marked(docs, threshold, target).where("node IS NOT NULL").select("d", "th", "node"))
+    first = cut(marked.groupBy("node").agg(F.min("d").alias("d"), F.min_by("th", F.struct("d", "th")).alias("th")))
+    rows = marked.groupBy("d", "th").count().join(_small(first.select("d", "th", F.lit(True).alias("kept"))), ["d", "th"], "left")
     rows = cut(rows.where("kept IS NULL OR count > 1"))
-    gone, twice = rows.where("kept IS NULL").select("__d", "__th"), rows.where("kept").select("__d", "__th")
-    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__d")) & (F.xxhash64("text") == F.col("__th"))
-    kept = docs.join(_small(gone), own, "left_anti")
+    gone, twice = rows.where("kept IS NULL").select("d", "th"), rows.where("kept").select("d", "th")
+    own = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"))
+    kept = own.join(_small(gone), ["d", "th"], "left_anti")          # no column of docs can clash
     if twice.isEmpty():
-        return kept
+        return kept.select("row.*")
     small = _small(twice)
-    return kept.join(small, own, "left_anti").unionByName(kept.join(small, own, "left_semi").dropDuplicates(["doc_id", "text"]))
+    once = kept.join(small, ["d", "th"], "left_semi").dropDuplicates(["d", "th"])
+    return kept.join(small, ["d", "th"], "left_anti").unionByName(once).select("row.*")

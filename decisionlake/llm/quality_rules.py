@@ -183,7 +183,8 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that stay, with all their columns; rows that share an id are judged each by its own text."""
-    found = cut(figures(docs.withColumn("__digest", F.xxhash64("text")), ["__digest"]))
-    gone = _judged(found, labels, **options).where("NOT kept").select(
-        F.col("doc_id").alias("__doc"), F.col("carried.__digest").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__gone")), "left_anti")
+    digest = F.xxhash64("text")
+    found = cut(figures(docs.select("doc_id", "text", "lang", digest.alias("digest")), ["digest"]))
+    gone = _judged(found, labels, **options).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("carried.digest").alias("gone_digest")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), digest.alias("own_digest"))      # no column of docs can clash
+    return rows.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_digest") == F.col("gone_digest")), "left_anti").select("row.*")
