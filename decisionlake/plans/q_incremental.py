@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from decisionlake import config
 from decisionlake.operators import chains, incremental as inc, library as li, runs
+from decisionlake.plans import q_transcripts as qt
 from decisionlake.plans.q_library import records
 from decisionlake.plans.registry import query
 from decisionlake.plans.twins import BLOCKS, twin
@@ -84,13 +85,6 @@ def validate_runs(spark, d):
     return runs.validate_runs(run_docs(spark, d))
 
 
-# the ledger of the fixture: every session with an even id was seen, some of them earlier in their life
-_LEDGER = """
-SELECT agent, unit_id, first_s, CASE WHEN unit_id % 6 = 0 THEN last_s - 60 WHEN unit_id % 10 = 0 THEN NULL ELSE last_s END AS last_s, 'src' AS src, 100 AS processed_at
-FROM f_sessions WHERE unit_id % 2 = 0
-"""
-
-
 def _ts(df):
     return df.withColumn("first_ts", F.timestamp_seconds("first_s")).withColumn("last_ts", F.timestamp_seconds("last_s"))
 
@@ -99,13 +93,6 @@ def _sessions(spark, d):
     return _ts(P(spark, d, "f_sessions"))
 
 
-def _ledger(spark, d):
-    s = P(spark, d, "f_sessions").where("unit_id % 2 = 0")
-    last = F.when(F.col("unit_id") % 6 == 0, F.col("last_s") - 60).when(F.col("unit_id") % 10 == 0, F.lit(None)).otherwise(F.col("last_s"))
-    return _ts(s.withColumn("last_s", last)).withColumn("src", F.lit("src")).withColumn("processed_at", F.lit(100))
-
-
-BLOCKS["o_ledger"] = _LEDGER
 BLOCKS["o_delta"] = """
 SELECT s.agent, s.unit_id, s.first_s, s.last_s FROM f_sessions s LEFT JOIN o_ledger l ON l.agent = s.agent AND l.unit_id = s.unit_id
 WHERE l.unit_id IS NULL OR (s.last_s IS NOT NULL AND (l.last_s IS NULL OR s.last_s > l.last_s))
@@ -114,7 +101,7 @@ WHERE l.unit_id IS NULL OR (s.last_s IS NOT NULL AND (l.last_s IS NULL OR s.last
 
 @query("incremental_delta", twin("SELECT agent, unit_id, last_s FROM o_delta"))
 def incremental_delta(spark, d):
-    return inc.incremental_delta(_sessions(spark, d), _ledger(spark, d)).select("agent", "unit_id", "last_s")
+    return inc.incremental_delta(_sessions(spark, d), qt.ledger(spark, d)).select("agent", "unit_id", "last_s")
 
 
 @query("ledger_upsert", twin("""
@@ -122,11 +109,12 @@ SELECT agent, unit_id, last_s, src, processed_at FROM (SELECT agent, unit_id, la
   UNION ALL SELECT l.agent, l.unit_id, l.last_s, l.src, l.processed_at FROM o_ledger l WHERE NOT EXISTS (SELECT 1 FROM o_delta d WHERE d.agent = l.agent AND d.unit_id = l.unit_id)) x
 """))
 def ledger_upsert(spark, d):
-    led = _ledger(spark, d)
+    led = qt.ledger(spark, d)
     delta = inc.incremental_delta(_sessions(spark, d), led).withColumn("src", F.lit("new")).withColumn("processed_at", F.lit(200))
     base = staging_path(spark, "ledger")
-    inc.publish_ledger(led.select("agent", "unit_id", "first_ts", "last_ts", "src", "processed_at"), base, 1)
-    inc.publish_ledger(inc.ledger_upsert(inc.read_ledger(spark, base), delta), base, 2)
+    inc.publish_ledger(led, base, "first")
+    inc.publish_ledger(delta, base, "second")
+    inc.publish_ledger(delta.withColumn("processed_at", F.lit(300)), base, "second")       # known, changes nothing
     return inc.read_ledger(spark, base).select("agent", "unit_id", F.unix_seconds("last_ts").alias("last_s"), "src", "processed_at")
 
 
@@ -136,9 +124,8 @@ def stream_sessions(spark, d):
     m = P(spark, d, "f_kept").select("agent", "unit_id", "pos", F.timestamp_seconds("ts_s").alias("ts"))
     m.repartition(6, "pos").write.parquet(inbox)
     stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 3).parquet(inbox)
-    q = st.stream_sessions(stream, base, chk)
-    q.awaitTermination()
-    out = st.latest_sessions(q, base, spark)
+    st.stream_sessions(stream, base, chk).awaitTermination()
+    out = st.latest_sessions(spark, base)
     return out.select("agent", "unit_id", "kept", F.unix_seconds("first_ts").alias("first_s"), F.unix_seconds("last_ts").alias("last_s"))
 
 

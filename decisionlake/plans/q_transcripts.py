@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from decisionlake.functions import text as tx
 from decisionlake.operators import attribution as at
+from decisionlake.operators import collect as co
 from decisionlake.operators import coverage as cv
+from decisionlake.operators import incremental as inc
 from decisionlake.plans.registry import query
 from decisionlake.plans.twins import BLOCKS, twin
 from decisionlake.session import cut, staging_path
 from decisionlake.sources import normalize as nz
+from decisionlake.sources import registry as reg
 from decisionlake.sources import transcripts as tr
 from decisionlake.sources.fixtures import projection as P
 
@@ -242,6 +245,20 @@ def session_summary(spark, d):
     return s.select("agent", "unit_id", "kept", "skipped", F.unix_seconds("first_ts").alias("first_s"), F.unix_seconds("last_ts").alias("last_s"))
 
 
+# the ledger of the fixture: every session with an even id was seen, some of them earlier in their life
+BLOCKS["o_ledger"] = """
+SELECT agent, unit_id, first_s, CASE WHEN unit_id % 6 = 0 THEN last_s - 60 WHEN unit_id % 10 = 0 THEN NULL ELSE last_s END AS last_s, 'src' AS src, 100 AS processed_at
+FROM f_sessions WHERE unit_id % 2 = 0
+"""
+
+
+def ledger(spark, d):
+    s = P(spark, d, "f_sessions").where("unit_id % 2 = 0")
+    last = F.when(F.col("unit_id") % 6 == 0, F.col("last_s") - 60).when(F.col("unit_id") % 10 == 0, F.lit(None)).otherwise(F.col("last_s"))
+    s = s.withColumn("last_s", last).withColumn("src", F.lit("src")).withColumn("processed_at", F.lit(100))
+    return s.withColumn("first_ts", F.timestamp_seconds("first_s")).withColumn("last_ts", F.timestamp_seconds("last_s"))
+
+
 _AG = "(SELECT DISTINCT agent, 'scan of ' || agent AS match_mode FROM f_messages UNION ALL SELECT 'omega', 'none')"
 
 
@@ -250,17 +267,24 @@ def _agents(spark, d):
     return a.withColumn("match_mode", F.when(F.col("agent") == "omega", "none").otherwise(F.concat(F.lit("scan of "), "agent")))
 
 
+# sessions that are not empty and recent enough; of these, those the ledger has seen and that did not go on are skipped
+SINCE, SINCE_S = "2026-01-02", 1767312000
+BLOCKS["o_recent"] = f"""
+SELECT s.*, l.unit_id IS NOT NULL AND (s.last_s IS NULL OR COALESCE(s.last_s <= l.last_s, false)) AS skip
+FROM o_sess s LEFT JOIN o_ledger l ON l.agent = s.agent AND l.unit_id = s.unit_id WHERE s.kept > 0 AND (s.last_s IS NULL OR s.last_s >= {SINCE_S})
+"""
 BLOCKS["o_cov"] = f"""
-SELECT a.agent, a.match_mode, COALESCE(s.n, 0) AS sessions, COALESCE(s.m, 0) AS messages, COALESCE(s.k, 0) AS skipped_lines, COALESCE(z.n, 0) AS skipped_sessions, s.first_s, s.last_s
-FROM {_AG} a LEFT JOIN (SELECT agent, COUNT(*) AS n, SUM(kept) AS m, SUM(skipped) AS k, MIN(first_s) AS first_s, MAX(last_s) AS last_s
-  FROM o_sess WHERE kept > 0 AND unit_id % 3 <> 0 GROUP BY agent) s ON s.agent = a.agent
-LEFT JOIN (SELECT agent, COUNT(*) AS n FROM o_sess WHERE unit_id % 3 = 0 GROUP BY agent) z ON z.agent = a.agent
+SELECT a.agent, a.match_mode, COALESCE(s.n, 0) AS sessions, COALESCE(s.m, 0) AS messages, COALESCE(s.k, 0) AS skipped_lines, COALESCE(s.z, 0) AS skipped_sessions, s.first_s, s.last_s
+FROM {_AG} a LEFT JOIN (SELECT agent, SUM(CASE WHEN skip THEN 0 ELSE 1 END) AS n, SUM(CASE WHEN skip THEN 0 ELSE kept END) AS m, SUM(CASE WHEN skip THEN 0 ELSE skipped END) AS k,
+  SUM(CASE WHEN skip THEN 1 ELSE 0 END) AS z, MIN(CASE WHEN NOT skip THEN first_s END) AS first_s, MAX(CASE WHEN NOT skip THEN last_s END) AS last_s
+  FROM o_recent GROUP BY agent) s ON s.agent = a.agent
 """
 
 
 def _cov(spark, d):
-    s = cut(sessions(spark, d))
-    return cv.coverage(s.where("unit_id % 3 <> 0"), _agents(spark, d), s.where("unit_id % 3 = 0"))
+    recent = cut(at.since_filter(sessions(spark, d).where("kept > 0"), SINCE))
+    delta = inc.incremental_delta(recent, ledger(spark, d))
+    return cv.coverage(delta, _agents(spark, d), inc.skipped_sessions(recent, delta))
 
 
 @query("coverage", twin("""
@@ -386,3 +410,91 @@ SELECT DISTINCT CASE c_custkey % 8 WHEN 0 THEN '.claude' WHEN 1 THEN '.windsurfx
 @query("unknown_stores", twin(f"SELECT name FROM ({_DIRS}) x WHERE name LIKE '.windsurfx%' OR name LIKE 'amp-%' OR name LIKE '.Roo%' OR name LIKE 'goose%'"))
 def unknown_stores(spark, d):
     return at.unknown_stores(spark.sql(_DIRS.replace("{customer}", f"parquet.`{d}/customer.parquet`")))
+
+
+# --- the composed job ------------------------------------------------------------------------
+_STAGED = [reg.Store("alpha", "", r"/store=alpha/dir=([^/]+)/unit=([^/]+)/[^/]+", (2,), 1, rule="encoded", match_mode="directory"),
+           reg.Store("beta", "", r"/store=beta/dir=[^/]+/unit=([^/]+)/[^/]+", rule="cwd", match_mode="cwd"),
+           reg.Store("gamma", "", r"/store=gamma/dir=[^/]+/unit=([^/]+)/[^/]+", layout=reg.DOCUMENT, normaliser="document", rule="mention", match_mode="mention"),
+           reg.Store("delta", "", r"/store=delta/dir=([^/]+)/unit=([^/]+)/[^/]+", (2,), 1, normaliser="seeded", rule="named", match_mode="name"),
+           reg.Store("omega", "", r"/store=omega/([^/]+)", match_mode="nothing")]
+
+
+def _home(spark, d, upto: int):
+    """Stores of four kinds on disk, one folder a session, with the messages before place ``upto``."""
+    m = P(spark, d, "f_messages").where(F.col("pos") < upto)
+    iso = F.date_format(F.timestamp_seconds("ts_s"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    role, text, cwd, a, at_pos = F.col("role"), F.col("text"), F.col("cwd"), F.col("agent"), F.col("pos").cast("bigint").alias("at")
+    of = lambda name: m.where(a == name)
+    key = [a.alias("store"), F.lit("all").alias("dir"), F.col("unit_id").alias("unit")]
+    alpha = of("alpha").select(a.alias("store"), F.coalesce(tx.encode_path(cwd), F.lit("none")).alias("dir"), F.col("unit_id").alias("unit"), at_pos,
+                               _obj(type=role, timestamp=iso, message=F.struct(role, text.alias("content"))).alias("value"))
+    meta = of("beta").groupBy("agent", "unit_id").agg(F.max("cwd").alias("cwd"))
+    beta = meta.select(*key, F.lit(-1).cast("bigint").alias("at"), _obj(type=F.lit("session_meta"), payload=F.struct("cwd")).alias("value")).unionByName(
+        of("beta").select(*key, at_pos, _obj(type=F.lit("response_item"), timestamp=iso, payload=F.struct(
+            F.lit("message").alias("type"), role, _nested(text).alias("content"))).alias("value")))
+    # one document a session: its messages in order, after one that names the folder
+    item = _obj(role=role, timestamp=iso, content=_nested(text))
+    gamma = of("gamma").withColumn("item", item).groupBy(*key).agg(F.max("cwd").alias("cwd"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), ",").alias("items"))
+    named = _obj(role=F.lit("system"), content=F.coalesce(F.col("cwd"), F.lit("no folder")))
+    gamma = gamma.select("store", "dir", "unit", F.lit(0).cast("bigint").alias("at"), F.concat(F.lit("["), named, F.lit(","), F.col("items"), F.lit("]")).alias("value"))
+    where = [F.lit("delta").alias("store"), F.concat(F.lit("p"), (F.col("unit_id") % 9).cast("string")).alias("dir"), F.col("unit_id").alias("unit")]
+    head = of("delta").select("unit_id").distinct().select(*where, F.lit(-1).cast("bigint").alias("at"), _obj(sessionId=F.lit("x"), projectHash=F.when(
+        F.col("unit_id") % 5 == 0, tx.project_hash(F.concat(F.lit("/home/u/p"), (F.col("unit_id") % 7).cast("string")))).otherwise("none")).alias("value"))
+    delta = head.unionByName(of("delta").select(*where, at_pos, _obj(
+        timestamp=iso, type=F.when(role == "assistant", "gemini").otherwise(role), content=F.array(F.struct(text.alias("text")))).alias("value")))
+    path, parts = staging_path(spark, "home"), ["store", "dir", "unit"]
+    rows = alpha.unionByName(beta).unionByName(gamma).unionByName(delta)
+    rows.repartition(8, *parts).sortWithinPartitions(*parts, "at").select(*parts, "value").write.partitionBy(*parts).text(path)
+    return path
+
+
+def _found(upto: int) -> str:
+    """Sessions of the staged stores with the projects they belong to."""
+    kept = "role IN ('user', 'assistant') AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''"
+    return f"""
+SELECT s.*, p.project FROM (
+  SELECT agent, unit_id, MAX(cwd) AS cwd, COUNT(CASE WHEN {kept} THEN 1 END) AS kept,
+         COUNT(CASE WHEN NOT ({kept}) AND NOT (agent = 'delta' AND role = 'system') THEN 1 END) + CASE WHEN agent IN ('beta', 'gamma') THEN 1 ELSE 0 END AS skipped,
+         MIN(CASE WHEN {kept} THEN ts_s END) AS first_s, MAX(CASE WHEN {kept} THEN ts_s END) AS last_s FROM f_messages WHERE pos < {upto} GROUP BY 1, 2) s
+JOIN (SELECT agent, unit_id, project FROM o_owner UNION SELECT * FROM o_named) p ON p.agent = s.agent AND p.unit_id = s.unit_id WHERE s.kept > 0
+"""
+
+
+BLOCKS["o_owner"] = f"""
+SELECT s.agent, s.unit_id, p.project FROM f_sessions s JOIN {_PROJ} p ON
+  CASE s.agent WHEN 'alpha' THEN regexp_replace(s.cwd, '[^A-Za-z0-9]', '-', 'g') || '-' LIKE regexp_replace(p.project, '[^A-Za-z0-9]', '-', 'g') || '-%'
+    WHEN 'beta' THEN s.cwd = p.project OR starts_with(s.cwd, p.project || '/') WHEN 'gamma' THEN contains(s.cwd, p.project) ELSE false END
+"""
+BLOCKS["o_named"] = f"""
+SELECT s.agent, s.unit_id, q.project FROM f_sessions s JOIN (
+  SELECT 'p' || CAST(i AS VARCHAR) AS dir, p.project FROM range(9) r(i) JOIN {_PROJ} p ON 'p' || CAST(i AS VARCHAR) = regexp_replace(p.project, '^.*/', '')
+    OR i = 8 AND p.project IN ('/home/u/p3/su', '/home/u/p3', '/home/u')
+  UNION SELECT 'p' || CAST(b.unit_id % 9 AS VARCHAR), p.project FROM f_sessions b JOIN {_PROJ} p ON b.agent = 'delta' AND b.unit_id % 5 = 0 AND p.project = '/home/u/p' || CAST(b.unit_id % 7 AS VARCHAR)
+) q ON q.dir = 'p' || CAST(s.unit_id % 9 AS VARCHAR) WHERE s.agent = 'delta'
+"""
+BLOCKS["o_first"] = _found(3) + " AND (last_s IS NULL OR last_s >= 1767312000)"
+BLOCKS["o_second"] = f"""
+SELECT n.*, f.unit_id IS NOT NULL AND (n.last_s IS NULL OR COALESCE(n.last_s <= f.last_s, false)) AS skip
+FROM ({_found(1 << 30)} AND (last_s IS NULL OR last_s >= 1767312000)) n LEFT JOIN o_first f ON f.project = n.project AND f.agent = n.agent AND f.unit_id = n.unit_id
+"""
+
+
+@query("collect", twin(f"""
+SELECT a.project, a.agent, CAST(COALESCE(s.n, 0) AS BIGINT) AS sessions, CAST(COALESCE(s.m, 0) AS BIGINT) AS messages, CAST(COALESCE(s.k, 0) AS BIGINT) AS skipped_lines,
+       CAST(COALESCE(s.z, 0) AS BIGINT) AS skipped_sessions, s.first_s, s.last_s, CAST(COALESCE(s.e, 0) AS BIGINT) AS ledger_entries
+FROM (SELECT p.project, g.agent FROM {_PROJ} p, (SELECT unnest(['alpha', 'beta', 'gamma', 'delta', 'omega']) AS agent) g) a
+LEFT JOIN (SELECT project, agent, COUNT(CASE WHEN NOT skip THEN 1 END) AS n, SUM(CASE WHEN NOT skip THEN kept END) AS m, SUM(CASE WHEN NOT skip THEN skipped END) AS k, COUNT(CASE WHEN skip THEN 1 END) AS z,
+             MIN(CASE WHEN NOT skip THEN first_s END) AS first_s, MAX(CASE WHEN NOT skip THEN last_s END) AS last_s, COUNT(*) AS e FROM o_second GROUP BY 1, 2) s ON s.project = a.project AND s.agent = a.agent
+"""))
+def collect(spark, d):
+    """Two runs over growing stores: what the second one emits, skips, and leaves in the ledger."""
+    ledger_path = staging_path(spark, "collected")
+    names = spark.sql("SELECT 'p8' AS name, '/home/u/p3/su/' AS path")
+    for run, upto in ((1, 3), (2, 1 << 30)):
+        done = co.collect(spark, _home(spark, d, upto), projects(spark, d), staging_path(spark, "out"), ledger_path, f"run {run}", run, _STAGED, SINCE, True, names=names)
+    entries = inc.read_ledger(spark, ledger_path).groupBy("project", "agent").agg(F.count(F.lit(1)).alias("ledger_entries"))
+    c = done.coverage.join(entries, ["project", "agent"], "left").fillna(0, ["ledger_entries"])
+    return c.select("project", "agent", "sessions", "messages", "skipped_lines", "skipped_sessions", F.unix_seconds("first_ts").alias("first_s"),
+                    F.unix_seconds("last_ts").alias("last_s"), "ledger_entries")
