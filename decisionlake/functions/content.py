@@ -42,17 +42,18 @@ RESULT_CHARS = 300                        # of a tool's arguments and of its res
 SMALLEST_RESULT = len('{"type":"tool_result","content":}')      # characters that one more level takes at least
 
 
-def _items(v: Column, raw: Column, k: Column) -> Column:
-    """The blocks of a list, or of a single block, each as (variant, JSON text)."""
+def _items(v: Column, raw: Column, blocks: Column) -> Column:
+    """The blocks of a list (``blocks``), or of a single block, each as (variant, JSON text)."""
     one = F.array(F.struct(v.alias("b"), raw.alias("s")))
-    many = F.zip_with(F.try_variant_get(v, "$", "array<variant>"), F.from_json(raw, "array<string>"), lambda b, s: F.struct(b.alias("b"), s.alias("s")))
-    return F.when(k == "OBJECT", one).otherwise(many)
+    many = F.zip_with(blocks, F.from_json(raw, "array<string>"), lambda b, s: F.struct(b.alias("b"), s.alias("s")))
+    return F.when(blocks.isNull(), one).otherwise(many)
 
 
 def _holds_blocks(b: Column) -> Column:
     """Whether a block is a tool result whose content is blocks again."""
-    inner = kind(F.try_variant_get(b, "$.content", "variant")).isin("ARRAY", "OBJECT")
-    return F.coalesce((kind(b) == "OBJECT") & (F.try_variant_get(b, "$.type", "string") == "tool_result") & inner, F.lit(False))
+    holds = lambda shape: F.try_variant_get(b, "$.content", shape).isNotNull()
+    is_result = F.coalesce(F.try_variant_get(b, "$.type", "string") == "tool_result", F.lit(False))
+    return is_result & (holds("array<variant>") | holds("map<string,variant>"))
 
 
 def _plain(b: Column, s: Column) -> Column:
@@ -98,9 +99,9 @@ def _nested(items: Column, raw: Column) -> Column:
         none = F.lit(None)
         head = F.struct(e["depth"].alias("depth"), F.lit(False).alias("open"), F.lit(True).alias("holds"), none.cast("variant").alias("b"),
                         none.cast("string").alias("s"), none.cast("string").alias("text"))
-        inner, text = F.try_variant_get(e["b"], "$.content", "variant"), F.get_json_object(e["s"], "$.content")
-        below = bind(F.struct(inner.alias("v"), text.alias("r"), kind(inner).alias("k")),
-                     lambda c: F.transform(_items(c["v"], c["r"], c["k"]), lambda i: entry(i, e["depth"] + 1)))
+        inner = F.struct(F.try_variant_get(e["b"], "$.content", "variant").alias("v"), F.get_json_object(e["s"], "$.content").alias("r"),
+                         F.try_variant_get(e["b"], "$.content", "array<variant>").alias("l"))
+        below = bind(inner, lambda c: F.transform(_items(c["v"], c["r"], c["l"]), lambda i: entry(i, e["depth"] + 1)))
         return F.concat(F.array(head), below)
 
     def level(state: Column, _: Column) -> Column:
@@ -134,7 +135,7 @@ def flatten_content(v: Column, raw: Column, max_chars: int) -> Column:
     def blocks(c: Column) -> Column:
         deep = lambda items: F.exists(items, lambda i: _holds_blocks(i["b"]))
         flat = lambda items: _joined(F.transform(items, lambda i: _plain(i["b"], i["s"])))
-        return bind(_items(c["v"], c["r"], c["k"]), lambda items: F.when(deep(items), _nested(items, c["r"])).otherwise(flat(items)))
+        return bind(_items(c["v"], c["r"], F.try_variant_get(c["v"], "$", "array<variant>")), lambda items: F.when(deep(items), _nested(items, c["r"])).otherwise(flat(items)))
 
     def text(c: Column) -> Column:
         return (F.when(c["v"].isNull() | F.is_variant_null(c["v"]), F.lit(""))
