@@ -39,8 +39,8 @@ THRESHOLD = 0.8
 BUCKETS = 1 << 16                         # of the word counts: one byte each in the plan, whatever the vocabulary
 SMALL_ROWS = 500_000                      # rows of (id, hash, line) that may be broadcast, about 15 MB
 HOT = 4                                   # sets that share a rare word before they are compared with the earliest first
-ROUNDS = 4                                # of that
-LARGE = 16                                # sets left in a group for another round
+ROUNDS = 12                               # of that, at most
+LARGE = 128                               # open sets in a group for another round
 HOT_WORDS = 3                             # of how many of a set's rarest words
 AT = ["d", "th", "line_no"]               # a line's place
 NO_ID = -(1 << 63)
