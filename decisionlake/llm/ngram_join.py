@@ -14,8 +14,9 @@ has about two blocks of members at most. Pairs live only inside such a task: it
 links it has and the first member it is linked to within the task. No pair leaves a task.
 
 *Verification* is the Jaccard likeness of the whole shingle sets, fetched for members of candidate pairs only. A pair is
-dropped before only if its signatures agree in less than ``LEAST_AGREEMENT`` of the values, which at the threshold has a
-chance below 1e-15.
+dropped before only if its signatures agree in a smaller share of the values than nine standard deviations below the threshold, which
+a pair at the threshold does with a chance below 1e-15. Prefixes shorten down to one value, where any threshold of 0.3 or more
+reaches the target; below that :func:`links` refuses, since it would lose links.
 
 *Classes* are the connected components of the links between sets, found by alternating star contractions over tables. Sets
 are nodes by a hash of their digest, never by an id, which several texts may share; ids are looked up afterwards.
@@ -38,10 +39,9 @@ from decisionlake.session import cut
 
 WIDTH = 5
 THRESHOLD = 0.8
-TREES, DEPTH, FLOOR = 24, 6, 4
-DEPTHS = range(FLOOR, DEPTH + 1)
+TREES, DEPTH = 24, 6
+DEPTHS = range(1, DEPTH + 1)
 TARGET = 0.9995
-LEAST_AGREEMENT = 0.5
 BLOCK = 512                               # members of a node that one side of a task has, about
 SMALL_ROWS = 500_000                      # rows of (id, digest) that may be broadcast, about 20 MB
 NO_ID = -(1 << 63)
@@ -123,6 +123,11 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def least_agreement(threshold: float) -> float:
+    """The share of equal signature values below which no pair at the threshold falls."""
+    return max(0.0, threshold - 9 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5)
+
+
 # nodes and tasks ------------------------------------------------------------------------------
 def _nodes(depth: int):
     def run(batches):
@@ -176,7 +181,7 @@ def _groups(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _candidates(group, depth: int, before: int | None):
+def _candidates(group, depth: int, before: int | None, least: float):
     """The pairs (i < j) of a task that are looked at here: the first tree where they agree, not at an earlier depth, likely."""
     import numpy as np
     sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(group.num_rows, -1)
@@ -194,18 +199,18 @@ def _candidates(group, depth: int, before: int | None):
         ok &= ~(keys[a, :tree] == keys[b, :tree]).any(axis=1)
         if before:
             ok &= ~(old[a] == old[b]).any(axis=1)
-        ok &= (sigs[a] == sigs[b]).mean(axis=1) >= LEAST_AGREEMENT
+        ok &= (sigs[a] == sigs[b]).mean(axis=1) >= least
         keep.append(np.flatnonzero(ok) + at)
     keep = np.concatenate(keep) if keep else np.empty(0, np.int64)
     return i[keep], j[keep]
 
 
-def _surviving(depth: int, before: int | None):
+def _surviving(depth: int, before: int | None, least: float):
     def run(batches):
         import numpy as np
         import pyarrow as pa
         for group in _groups(batches):
-            i, j = _candidates(group, depth, before)
+            i, j = _candidates(group, depth, before, least)
             rows = np.unique(np.concatenate([i, j]))
             if len(rows):
                 yield from group.drop_columns(["sig"]).take(pa.array(rows)).combine_chunks().to_batches()
@@ -240,7 +245,7 @@ def _linked(threshold: float, depth: int, before: int | None):
         import numpy as np
         import pyarrow as pa
         for group in _groups(batches):
-            i, j = _candidates(group, depth, before)
+            i, j = _candidates(group, depth, before, least_agreement(threshold))
             sets = [np.frombuffer(x, "<u8") for x in group.column("hashes").to_pylist()]
             size = np.array([len(s) for s in sets])
             common = _common(sets, i, j)
@@ -300,11 +305,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
     """(rid, digest, links, root) of every task's linked members, over all depths that were needed; ``root`` is a digest."""
+    if chance(threshold, 1) < target:
+        raise ValueError(f"{TREES} trees do not reach a recall of {target} at a threshold of {threshold}")
     found, before, depth, rows = None, None, DEPTH, _rows(docs)
     while True:
         tasks = _tasks(reps, depth).join(reps.select("rid", "digest", "sig"), ["rid", "digest"])
         kinds = "rid bigint, digest binary, tree int, key bigint, lo int, hi int, blk int"
-        tasks = cut(_dealt(tasks.select("rid", "digest", *TASK, "blk", "sig")).mapInArrow(_surviving(depth, before), kinds))
+        tasks = cut(_dealt(tasks.select("rid", "digest", *TASK, "blk", "sig")).mapInArrow(_surviving(depth, before, least_agreement(threshold)), kinds))
         wanted = cut(tasks.select(F.col("rid").alias("d"), "digest").distinct())
         ids = _small(wanted.select("d").distinct())
         sets = _signatures(rows.join(ids, "d", "left_semi"), True).join(_small(wanted), ["d", "digest"], "left_semi").dropDuplicates(["d", "digest"])
@@ -314,7 +321,7 @@ def links(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, target
         found = got if found is None else found.unionByName(got)
         total, unseen = found.agg(F.coalesce(F.sum("links"), F.lit(0)) / 2, F.coalesce(F.sum(f"unseen{depth}"), F.lit(0.0))).first()
         estimate = total / (total + unseen) if total else 1.0
-        if depth == FLOOR or chance(threshold, depth) >= target and estimate >= target:
+        if depth == 1 or chance(threshold, depth) >= target and estimate >= target:
             return found.select("rid", "digest", "links", "root")
         before, depth = depth, depth - 1
 

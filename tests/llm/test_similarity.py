@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from decisionlake.llm import line_dedup, ngram_join
+from decisionlake.llm import line_dedup, ngram_join, quality_rules
 from tests.llm.conftest import WORD
 
 
@@ -140,3 +140,36 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 400)] + [(7, 3), (9, 7), (5, 5)], "u long, v long")
     root = {r.node: r.root for r in ngram_join.components(edges).collect()}
     assert root == {**{i: 100 for i in range(100, 401)}, 3: 3, 7: 3, 9: 3}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.65])
+def test_ngram_join_loses_no_link_at_lower_thresholds(spark, threshold):
+    random.seed(int(threshold * 100))
+    docs = []
+    for i in range(150):                                    # pairs on both sides of the threshold
+        words = [f"{i}w{k}" for k in range(60)]
+        other = list(words)
+        for k in random.sample(range(60), random.randint(0, 8)):
+            other[k] = "x"
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    sets = {d: frozenset(tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)) for d, t in docs}
+    alike = {d for d in sets if len(sets[d] & sets[d ^ 1]) >= threshold * len(sets[d] | sets[d ^ 1]) and sets[d] != sets[d ^ 1]}
+    got = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), threshold).collect()
+    assert {r.doc_id for r in got if r.n_links} == alike and 60 < len(alike) < 299
+    with pytest.raises(ValueError):
+        ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 0.1)
+
+
+def test_columns_that_clash_with_inner_names(spark):
+    line = "one two three four five six seven"
+    rows = [(1, f"{line}\nfirst", "en"), (2, f"{line}\nsecond", "en"), (3, " ".join(f"w{i}" for i in range(60)), "en"), (4, " ".join(f"w{i}" for i in range(60)), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name in ("__d", "__th", "__doc", "__digest", "__gone", "__removed", "d", "th", "row", "own_id", "own_th", "own_digest", "gone_id", "gone_digest", "removed", "digest", "kept", "node", "carried"):
+        docs = docs.withColumn(name, docs.doc_id)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality_rules.keep(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {3, 4}
+    lines = line_dedup.dedup_lines(docs)
+    assert lines.columns == docs.columns and {r.doc_id: r.text for r in lines.collect()} == {1: rows[0][1], 2: "second", 3: rows[2][1], 4: ""}
+    one = ngram_join.keep_one(docs)
+    assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == {1, 2, 3}
