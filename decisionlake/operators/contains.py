@@ -1,10 +1,13 @@
 """Substring join without a nested loop over all pairs.
 
-Texts are cut into pieces at a separator. If a text holds a needle of several pieces, then each inner
-piece of the needle is a whole piece of the text, its first piece ends one and its last piece starts one;
-a needle of one piece lies inside one. So every needle is looked up in the vocabulary of pieces (which is
-small next to the texts), the piece with the fewest postings is chosen, and texts and needles meet in an
-equi-join on it. Every candidate is verified on the full text.
+Texts are cut into pieces at a separator. If a text holds a needle of several pieces, then each inner piece of the needle is a
+whole piece of the text, its first piece ends one and its last piece starts one; a needle of one piece lies inside one, and so does
+every gram of it. These are the needle's keys, each with a role.
+
+The needles come first: the keys that any of them asks for set bits in a map of fixed size, which the scan of the texts carries as a
+constant. A piece of text that no needle asks for is dropped there, before anything is counted or shuffled, and so
+is a text without such a piece. What is left is counted, each needle picks its rarest key, and texts and needles meet in an equi-join
+on it. Every candidate is verified, on the piece where the needle is one piece, else on the full text.
 """
 
 from __future__ import annotations
@@ -15,8 +18,9 @@ from pyspark.sql import functions as F
 from decisionlake.functions.content import once
 from decisionlake.session import cut
 
-GRAM = 3
-KEY = 64          # longest key looked up in the vocabulary; a longer piece is probed by its end
+GRAMS = (8, 3, 2, 1)   # sizes of grams; a needle of one piece is looked up by the longest that fits
+KEY = 64               # longest key; a longer piece is looked up by its end
+BYTES = 1 << 17        # of the map of asked keys, seven bits each, whatever the number of needles
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -30,36 +34,48 @@ def _key(role: str, key: Column) -> Column:
 
 
 def _needle_keys(pieces: Column) -> Column:
-    """(role, key) of every non-empty piece: exact, suffix, prefix, or inside for a lone piece."""
+    """(role, key) of every non-empty piece: exact, suffix, prefix, or the grams of a lone piece."""
     n = F.size(pieces)
-    keys = F.transform(pieces, lambda p, i: F.when(n == 1, _key("inside", F.left(p, F.lit(KEY))))
-                       .when(i == 0, _key("suffix", F.right(p, F.lit(KEY))))
-                       .when(i == n - 1, _key("prefix", F.left(p, F.lit(KEY))))
-                       .otherwise(_key("exact", p)))
-    return F.array_distinct(F.filter(keys, lambda k: k["__key"] != ""))
+    ends = F.transform(pieces, lambda p, i: F.when(i == 0, _key("suffix", F.right(p, F.lit(KEY))))
+                       .when(i == n - 1, _key("prefix", F.left(p, F.lit(KEY)))).otherwise(_key("exact", p)))
+    lone = F.get(pieces, F.lit(0))
+    grams = F.array().cast("array<string>")
+    for size in reversed(GRAMS):
+        grams = F.when(F.length(lone) >= size, _grams(lone, size)).otherwise(grams)
+    inside = F.transform(grams, lambda g: _key("inside", g))
+    return F.array_distinct(F.filter(F.when(n == 1, inside).otherwise(ends), lambda k: k["__key"] != ""))
 
 
-def _vocab_keys(tok: Column, lengths: dict[str, list[int]]) -> Column:
+def _piece_keys(tok: Column, lengths: dict[str, list[int]]) -> Column:
     """The keys a piece of text may be asked by: only of the roles and lengths that some needle has."""
     def ends(role: str, end) -> Column:
         fits = F.filter(F.array(*[F.lit(k) for k in lengths[role]]), lambda k: k <= F.length(tok))
         return F.transform(fits, lambda k: _key(role, end(tok, k)))
 
     keys = [F.array(_key("exact", tok))] if "exact" in lengths else []
-    return F.concat(*keys, *[ends(role, end) for role, end in (("suffix", F.right), ("prefix", F.left)) if role in lengths])
+    keys += [ends(role, end) for role, end in (("suffix", F.right), ("prefix", F.left)) if role in lengths]
+    keys += [F.transform(_grams(tok, size), lambda g: _key("inside", g)) for size in lengths.get("inside", [])]
+    return F.concat(*keys) if keys else F.array().cast("array<struct<__role:string,__key:string>>")
 
 
-def _inside_hits(vocab: DataFrame, asked: DataFrame, scope: list[str], sizes: list[int]) -> DataFrame:
-    """Vocabulary entries that hold a lone piece, found by the piece's rarest gram of one of ``sizes``."""
-    size = F.least(F.length("__key"), F.lit(GRAM))
-    grams = F.when(size == 1, _grams(F.col("__key"), 1)).when(size == 2, _grams(F.col("__key"), 2)).otherwise(_grams(F.col("__key"), GRAM))
-    want = asked.where("__role = 'inside'").select(*scope, "__key", F.explode(grams).alias("__g"))
-    table = (vocab.select(*scope, "__tok", "__df", F.explode(F.concat(*[_grams(F.col("__tok"), s) for s in sizes])).alias("__g"))
-             .join(want.select(*scope, "__g").distinct(), [*scope, "__g"], "left_semi"))
-    freq = table.groupBy(*scope, "__g").agg(F.count(F.lit(1)).alias("__n"))
-    probe = want.join(freq, [*scope, "__g"], "left").groupBy(*scope, "__key").agg(F.min_by("__g", F.coalesce("__n", F.lit(0))).alias("__g"))
-    return probe.join(table, [*scope, "__g"]).where(F.contains("__tok", "__key")).select(
-        *scope, F.lit("inside").alias("__role"), "__key", "__tok", "__df").distinct()
+def _bit(scope: list[str], key: Column) -> Column:
+    return F.pmod(F.xxhash64(*scope, key["__role"], key["__key"]), F.lit(7 * BYTES))
+
+
+def _asked_map(asked: DataFrame, scope: list[str]) -> bytes:
+    """The map of asked keys; the driver sees BYTES rows at most."""
+    bit = _bit(scope, F.struct("__role", "__key"))
+    rows = asked.groupBy(F.floor(bit / 7).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (bit % 7).cast("int"))).alias("bits"))
+    known = bytearray(BYTES)
+    for r in rows.collect():
+        known[r["at"]] = r["bits"]
+    return bytes(known)
+
+
+def _perhaps_asked(known: bytes, scope: list[str], key: Column) -> Column:
+    bit = _bit(scope, key)
+    byte = F.ascii(F.substr(F.lit(known), (F.floor(bit / 7) + 1).cast("int"), F.lit(1)).cast("string"))
+    return F.call_function("shiftright", byte, (bit % 7).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def contains_join(texts: DataFrame, needles: DataFrame, text_keys: list[str], needle_keys: list[str],
@@ -75,46 +91,39 @@ def contains_join(texts: DataFrame, needles: DataFrame, text_keys: list[str], ne
     t = texts.select(*scope, *tk, F.col(text).alias("__text"))
     n = needles.select(*scope, *nk, F.col(needle).alias("__needle"))
 
-    postings = t.select(*scope, *tk, F.explode(F.array_distinct(
-        F.filter(F.split("__text", sep), lambda p: p != ""))).alias("__tok"))
-    vocab = cut(postings.groupBy(*scope, "__tok").agg(F.count(F.lit(1)).alias("__df")))
     parts = cut(once(n, "__keys", _needle_keys(F.split("__needle", sep))))
-
-    options = parts.select(*scope, *nk, F.explode("__keys").alias("__k")).select(*scope, *nk, "__k.__role", "__k.__key")
+    options = parts.select(*scope, *nk, "__needle", F.explode("__keys").alias("__k")).select(*scope, *nk, "__needle", "__k.__role", "__k.__key")
     asked = cut(options.select(*scope, "__role", "__key").distinct())
     lengths: dict[str, list[int]] = {}                       # at most KEY numbers a role
-    for r in asked.select("__role", F.least(F.length("__key"), F.lit(KEY)).alias("n")).where("__role <> 'exact'").distinct().collect():
-        lengths.setdefault(r["__role"], []).append(r.n)
-    if not asked.where("__role = 'exact'").isEmpty():
-        lengths["exact"] = []
-    wanted = [*scope, "__role", "__key", "__tok", "__df"]
-    found = []
-    if lengths.keys() - {"inside"}:
-        listed = vocab.select(*scope, "__tok", "__df", F.explode(_vocab_keys(F.col("__tok"), lengths)).alias("__k")).select(
-            *scope, "__tok", "__df", "__k.__role", "__k.__key")
-        found.append(listed.join(asked, [*scope, "__role", "__key"]).select(*wanted))
-    if "inside" in lengths:
-        found.append(_inside_hits(vocab, asked, scope, sorted({min(n, GRAM) for n in lengths["inside"]})).select(*wanted))
-    if not found:
-        found.append(vocab.select(*scope, F.lit("").alias("__role"), F.lit("").alias("__key"), "__tok", "__df").limit(0))
-    hits = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    hits = cut(hits)
-    cost = hits.groupBy(*scope, "__role", "__key").agg(F.sum("__df").alias("__cost"))
-    # a piece that is in no text has cost 0 and no hits: its needle matches nothing
-    chosen = options.join(cost, [*scope, "__role", "__key"], "left").groupBy(*scope, *nk).agg(
-        F.min_by(F.struct("__role", "__key"), F.coalesce("__cost", F.lit(0))).alias("__k")).select(*scope, *nk, "__k.__role", "__k.__key")
-    probes = cut(chosen.join(hits, [*scope, "__role", "__key"]).select(*scope, *nk, "__tok"))
-
-    pairs = postings.join(probes, [*scope, "__tok"]).select(*scope, *tk, *nk).distinct()
-    verified = (pairs.join(n, [*scope, *nk]).join(t, [*scope, *tk])
-                .where(F.contains("__text", "__needle")).select(*scope, *tk, *nk))
+    for r in asked.select("__role", F.when(F.col("__role") != "exact", F.length("__key")).alias("n")).distinct().collect():
+        lengths.setdefault(r["__role"], []).append(r["n"])
 
     # empty or separator-only needles: nothing to look up, the scope itself is the candidate set
     bare = parts.where(F.size("__keys") == 0).select(*scope, *nk, "__needle")
-    if bare.isEmpty():                                       # else every text of the scope is part of the answer
-        return verified
-    on = scope
-    if not scope:
-        t, bare, on = t.withColumn("__one", F.lit(1)), bare.withColumn("__one", F.lit(1)), ["__one"]
-    every = t.join(bare, on).where(F.contains("__text", "__needle")).select(*scope, *tk, *nk)
-    return verified.unionByName(every)
+    every = None
+    if not bare.isEmpty():                                   # then every text of the scope may be part of the answer
+        left, right, on = t, bare, scope
+        if not scope:
+            left, right, on = t.withColumn("__one", F.lit(1)), bare.withColumn("__one", F.lit(1)), ["__one"]
+        every = left.join(right, on).where(F.contains("__text", "__needle")).select(*scope, *tk, *nk)
+    if not lengths and every is not None:
+        return every
+
+    known = _asked_map(asked, scope)
+    pieces = t.select(*scope, *tk, F.explode(F.array_distinct(F.filter(F.split("__text", sep), lambda p: p != ""))).alias("__tok"))
+    keys = F.filter(_piece_keys(F.col("__tok"), lengths), lambda k: _perhaps_asked(known, scope, k))
+    listed = pieces.select(*scope, *tk, "__tok", F.explode(keys).alias("__k")).select(
+        *scope, *tk, F.when(F.col("__k.__role") == "inside", F.col("__tok")).alias("__tok"), "__k.__role", "__k.__key")
+    hits = cut(listed.join(asked, [*scope, "__role", "__key"]))
+    cost = hits.groupBy(*scope, "__role", "__key").agg(F.count(F.lit(1)).alias("__cost"))
+    # a key that is in no text has cost 0 and no hits: its needle matches nothing
+    chosen = options.join(cost, [*scope, "__role", "__key"], "left").groupBy(*scope, *nk).agg(
+        F.min_by(F.struct("__role", "__key"), F.coalesce("__cost", F.lit(0))).alias("__k"), F.first("__needle").alias("__needle"))
+    probes = cut(chosen.select(*scope, *nk, "__needle", "__k.__role", "__k.__key"))
+
+    pairs = hits.join(probes, [*scope, "__role", "__key"])
+    lone = pairs.where((F.col("__role") == "inside") & F.contains("__tok", "__needle")).select(*scope, *tk, *nk).distinct()
+    several = pairs.where("__role <> 'inside'").select(*scope, *tk, *nk, "__needle").distinct()
+    verified = several.join(t, [*scope, *tk]).where(F.contains("__text", "__needle")).select(*scope, *tk, *nk)
+    found = lone.unionByName(verified)
+    return found if every is None else found.unionByName(every)

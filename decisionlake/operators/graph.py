@@ -133,6 +133,11 @@ def resolve_current(records: DataFrame) -> DataFrame:
     return _walk_table(_pointers(records)).drop("cycle_id")
 
 
+def successors(records: DataFrame) -> DataFrame:
+    """(lib, at, to): the record each superseded record names, where it is one known record."""
+    return cut(_pointers(records).where(F.col("next_id").isNotNull()).select("lib", F.col("rec_id").alias("at"), F.col("next_id").alias("to")))
+
+
 def resolve_walk(records: DataFrame, resolved: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """The records walked from each record, in order: (lib, rec_id, hop, walked_id).
 
@@ -145,8 +150,7 @@ def resolve_walk(records: DataFrame, resolved: DataFrame, only: DataFrame | None
     top = origins.agg(F.max("depth")).first()[0] or 0
     rows = origins.select("lib", "rec_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("depth") - 1)).alias("hop"))
     rows = rows.withColumn("at", F.col("rec_id"))
-    jump = cut(_pointers(records).where(F.col("next_id").isNotNull()).select(
-        "lib", F.col("rec_id").alias("at"), F.col("next_id").alias("to")))
+    jump = successors(records)
     bit = 1
     while bit < top:
         due = (F.col("hop").bitwiseAND(F.lit(bit))) != 0
@@ -188,12 +192,17 @@ def validation_edges(records: DataFrame, labels: list[str] | None = None) -> Dat
 
 
 def supersede_cycles(edges: DataFrame) -> DataFrame:
-    """Every record on a cycle of a general edge set (lib, src_id, dst_id): (lib, rec_id, cycle_id).
+    """Every record on a cycle of a general edge set (lib, src_id, dst_id): (lib, rec_id, cycle_id), one id a component.
 
-    Runs of records with one way out are walked by doubling; only records with several ways out (forks)
-    are left for the strongly-connected-component iteration on the contracted graph.
+    Runs of records with one way out are walked by doubling and contracted to edges between forks. Dead ends go with them, so
+    forks lose ways and become runs themselves: the contraction is repeated on what is left, and on the turned graph
+    where it no longer helps, until no fork is left. Only a core in which every record has several ways out and in
+    comes to the component iteration.
     """
-    edges = cut(edges.select("lib", "src_id", "dst_id").distinct())
+    return _cycles(cut(edges.select("lib", "src_id", "dst_id").distinct()), turned=False)
+
+
+def _cycles(edges: DataFrame, turned: bool) -> DataFrame:
     loops = edges.where("src_id = dst_id").select("lib", F.col("src_id").alias("rec_id"), F.col("src_id").alias("cycle_id"))
     edges = edges.where("src_id <> dst_id")
     out_degree = edges.groupBy("lib", "src_id").agg(F.count(F.lit(1)).alias("out"), F.min("dst_id").alias("dst_id"))
@@ -204,27 +213,31 @@ def supersede_cycles(edges: DataFrame) -> DataFrame:
         F.when(F.col("out").isNull(), "sink").when(F.col("out") > 1, "fork").alias("terminal")))
     walks = cut(_walk_table(pointers))
     # the endpoint of a looping walk is its entry, so every ring node is the endpoint of its own walk
-    rings = walks.where("terminal = 'cycle' and endpoint = rec_id").select("lib", "rec_id", "cycle_id")
-    found = loops.unionByName(rings)
+    found = walks.where("terminal = 'cycle' and endpoint = rec_id").select("lib", "rec_id", "cycle_id")
     forks = pointers.where("terminal = 'fork'").select("lib", "rec_id")
-    if forks.isEmpty():
-        return found.groupBy("lib", "rec_id").agg(F.min("cycle_id").alias("cycle_id"))
     # contracted graph: fork -> the fork its way out leads to
-    ways = (edges.join(forks.withColumnRenamed("rec_id", "src_id"), ["lib", "src_id"], "left_semi")
-            .join(walks.where("terminal = 'fork'").select(
-                "lib", F.col("rec_id").alias("dst_id"), F.col("endpoint").alias("to_id")), ["lib", "dst_id"]))
-    comps = _components(ways.select("lib", F.col("src_id").alias("a"), F.col("to_id").alias("b")).distinct())
-    if comps is None:
-        return found.groupBy("lib", "rec_id").agg(F.min("cycle_id").alias("cycle_id"))
-    inside = (ways.join(comps.select("lib", F.col("rec_id").alias("src_id"), "comp"), ["lib", "src_id"])
-              .join(comps.select("lib", F.col("rec_id").alias("to_id"), F.col("comp").alias("comp2")), ["lib", "to_id"])
-              .where("comp = comp2").select("lib", "dst_id", "comp").distinct())
-    starts = inside.select("lib", F.col("dst_id").alias("rec_id"))
-    steps = _unary_steps(pointers, walks, starts)
-    on_way = steps.join(inside.withColumnRenamed("dst_id", "rec_id"), ["lib", "rec_id"]).select(
-        "lib", F.col("walked_id").alias("rec_id"), F.col("comp").alias("cycle_id"))
-    found = found.unionByName(on_way).unionByName(comps.select("lib", "rec_id", F.col("comp").alias("cycle_id")))
-    return found.groupBy("lib", "rec_id").agg(F.min("cycle_id").alias("cycle_id"))
+    ways = cut(edges.join(forks.withColumnRenamed("rec_id", "src_id"), ["lib", "src_id"], "left_semi")
+               .join(walks.where("terminal = 'fork'").select(
+                   "lib", F.col("rec_id").alias("dst_id"), F.col("endpoint").alias("to_id")), ["lib", "dst_id"]))
+    joints = cut(ways.select("lib", "src_id", F.col("to_id").alias("dst_id")).distinct())
+    left = joints.count()
+    if left:
+        if left < edges.count():
+            comps = _cycles(joints, turned=False)
+        elif not turned:
+            comps = _cycles(joints.select("lib", F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id")), turned=True)
+        else:
+            core = _components(joints.select("lib", F.col("src_id").alias("a"), F.col("dst_id").alias("b")))
+            comps = core.withColumnRenamed("comp", "cycle_id") if core is not None else found.limit(0)
+        comps = cut(comps)
+        inside = (ways.join(comps.select("lib", F.col("rec_id").alias("src_id"), "cycle_id"), ["lib", "src_id"])
+                  .join(comps.select("lib", F.col("rec_id").alias("to_id"), F.col("cycle_id").alias("other")), ["lib", "to_id"])
+                  .where("cycle_id = other").select("lib", F.col("dst_id").alias("rec_id"), "cycle_id").distinct())
+        steps = _unary_steps(pointers, walks, inside.select("lib", "rec_id"))
+        on_way = steps.join(inside, ["lib", "rec_id"]).select("lib", F.col("walked_id").alias("rec_id"), "cycle_id")
+        found = found.unionByName(on_way).unionByName(comps)
+    found = found.groupBy("lib", "rec_id").agg(F.min("cycle_id").alias("cycle_id"))
+    return found.unionByName(loops.join(found, ["lib", "rec_id"], "left_anti"))
 
 
 def _unary_steps(pointers: DataFrame, walks: DataFrame, starts: DataFrame) -> DataFrame:
@@ -292,7 +305,6 @@ def _components(edges: DataFrame) -> DataFrame | None:
         gone = back.select("lib", "rec_id")
         edges = cut(edges.join(gone.withColumnRenamed("rec_id", "a"), ["lib", "a"], "left_anti")
                     .join(gone.withColumnRenamed("rec_id", "b"), ["lib", "b"], "left_anti"))
-    raise RuntimeError("components did not converge")
 
 
 def _node_reasons(records: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from decisionlake import config
 from decisionlake.functions import text as tx
 from decisionlake.functions.times import iso_day
 from decisionlake.operators.contains import contains_join
@@ -42,13 +43,14 @@ def extract_source_paths(records: DataFrame) -> DataFrame:
 def search(records: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` matches of each query in library order (type, path), with the total.
 
-    queries (lib, query_id, text[, type][, status]); text is looked up in title, fields and raw body.
+    queries (lib, query_id, text[, type][, status]); text is looked up in the title with the field values, and in the raw body,
+    each by itself: no match runs from one into the other.
     """
-    hay = records.select("lib", "rec_id", "path", "type", "status", "title", F.lower(F.concat_ws(
-        " ", "title", "field_text", "aliases", "body")).alias("hay"))
+    named = F.concat_ws(" ", "title", *[F.nullif(c, F.lit("")) for c in config.FIELD_COLUMNS.values()])
+    hay = records.select("lib", "rec_id", "path", "type", "status", "title", F.posexplode(F.array(F.lower(named), F.lower("body"))).alias("part", "hay"))
     needles = queries.select("lib", "query_id", F.lower(F.coalesce("text", F.lit(""))).alias("needle"))
-    hits = contains_join(hay, needles, ["lib", "path"], ["lib", "query_id"], text="hay", needle="needle", scope=["lib"])
-    rows = hits.join(hay.select("lib", "path", "rec_id", "type", "status", "title"), ["lib", "path"])
+    hits = contains_join(hay, needles, ["lib", "path", "part"], ["lib", "query_id"], text="hay", needle="needle", scope=["lib"]).drop("part").distinct()
+    rows = hits.join(records.select("lib", "path", "rec_id", "type", "status", "title"), ["lib", "path"])
     filters = [c for c in ("type", "status") if c in queries.columns]
     if filters:
         rows = rows.join(queries.select("lib", "query_id", *[F.col(c).alias(f"want_{c}") for c in filters]), ["lib", "query_id"])

@@ -125,13 +125,25 @@ def resolve_query(library: Library, queries: DataFrame, use_aliases: bool = True
 
 
 def resolve_trail(library: Library, res: Resolution) -> DataFrame:
-    """The superseded ids each literal endpoint was reached from: (lib, query_id, endpoint, superseded_id)."""
+    """The superseded ids each literal endpoint was reached from: (lib, query_id, endpoint, superseded_id).
+
+    What lies between a match and its endpoint is marked by doubling: in round k every marked record marks the one 2^k steps on.
+    A query holds each record once, however many of its matches lead over it, so rounds and rows follow the output, never the
+    number of matches times the length of their chains.
+    """
     lit = res.endpoints.where("via = 'literal'").select("lib", "query_id", "endpoint")
-    origins = (res.matches.join(library.resolved.select("lib", "rec_id", "endpoint"), ["lib", "rec_id"])
-               .join(lit, ["lib", "query_id", "endpoint"], "left_semi"))
-    walks = graph.resolve_walk(library.records, library.resolved, origins)
-    return origins.join(walks, ["lib", "rec_id"]).select(
-        "lib", "query_id", "endpoint", F.col("walked_id").alias("superseded_id")).distinct()
+    origins = cut(res.matches.join(library.resolved.where("depth > 0").select("lib", "rec_id", "endpoint", "depth"), ["lib", "rec_id"])
+                  .join(lit, ["lib", "query_id", "endpoint"], "left_semi"))
+    top = origins.agg(F.max("depth")).first()[0] or 0
+    marked = origins.select("lib", "query_id", "endpoint", F.col("rec_id").alias("at")).distinct()
+    jump = graph.successors(library.records)
+    reach = 1
+    while reach < top:                                      # the endpoint itself need not be reached
+        marked = cut(marked.unionByName(marked.join(jump, ["lib", "at"]).select("lib", "query_id", "endpoint", F.col("to").alias("at"))).distinct())
+        reach *= 2
+        if reach < top:
+            jump = cut(jump.join(jump.select("lib", F.col("at").alias("to"), F.col("to").alias("to2")), ["lib", "to"]).select("lib", "at", F.col("to2").alias("to")))
+    return marked.where("at <> endpoint").select("lib", "query_id", "endpoint", F.col("at").alias("superseded_id"))
 
 
 def ambiguous_topics(library: Library) -> DataFrame:

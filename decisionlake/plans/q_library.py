@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from decisionlake import config
 from decisionlake.operators import alias as al
 from decisionlake.operators import chains, graph, library
 from decisionlake.operators import resolve as rs
@@ -195,7 +196,7 @@ SELECT lib, query_id, rank, rec_id, type, status, title, total_matches, total_ma
          ROW_NUMBER() OVER (PARTITION BY q.lib, q.query_id ORDER BY r.type, r.path) AS rank,
          COUNT(*) OVER (PARTITION BY q.lib, q.query_id) AS total_matches
   FROM (SELECT *, CASE WHEN query_id % 5 = 0 THEN 'pdr' END AS want_type, CASE WHEN query_id % 7 = 0 THEN 'Super' END AS want_status FROM f_queries) q
-  JOIN f_records r ON r.lib = q.lib AND contains(lower(r.title || ' ' || r.field_text || ' ' || r.aliases || ' ' || r.body), lower(q.text))
+  JOIN f_records r ON r.lib = q.lib AND (contains(lower(concat_ws(' ', r.title, """ + ", ".join(f"nullif(r.{c}, '')" for c in config.FIELD_COLUMNS.values()) + """)), lower(q.text)) OR contains(lower(r.body), lower(q.text)))
    AND (q.want_type IS NULL OR q.want_type = r.type) AND (q.want_status IS NULL OR starts_with(lower(r.status), lower(q.want_status)))) x
 WHERE rank <= 3
 """
