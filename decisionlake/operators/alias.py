@@ -48,20 +48,21 @@ def glossary(records: DataFrame, amap: DataFrame) -> DataFrame:
 def match_aliases(queries: DataFrame, aliases: DataFrame, stoplist: list[str] | None = None) -> DataFrame:
     """Alias phrases present in each query text: (lib, query_id, alias).
 
-    Whole-token phrases, the longest at each position, left to right without overlap. Candidates come
-    from an equi-join of the query's n-grams with the alias table; only the choice among a single
-    query's own candidates is folded.
+    Whole-token phrases, the longest at each position, left to right without overlap. A position is looked up by its token
+    first; only the lengths of aliases that begin with it are tried there, so a long alias costs nothing
+    where its first token is not, and positions no alias begins at are dropped before they are joined again. Only
+    the choice among a single query's own candidates is folded.
     """
     stop = [" ".join(s.lower().split()) for s in (config.ALIAS_STOPLIST if stoplist is None else stoplist)]
     known = aliases.select("lib", "alias").distinct().where(~F.col("alias").isin(stop))
-    top = known.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 0
-    if top == 0:
-        return queries.select("lib", "query_id", F.lit("").alias("alias")).where(F.lit(False))
+    words = F.split("alias", " ")
+    begins = known.select("lib", F.get(words, F.lit(0)).alias("tok"), F.size(words).alias("len")).distinct().groupBy("lib", "tok").agg(
+        F.collect_set("len").alias("lengths"), F.max("len").alias("longest"))      # as many lengths as differ
     q = queries.select("lib", "query_id", F.split(tx.normalize_alias(F.col("text")), " ").alias("toks"))
-    q = q.withColumn("n", F.size("toks")).withColumn("start", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    q = q.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(top), F.col("n") - F.col("start") + 1))))
-    grams = q.select("lib", "query_id", "start", "len",
-                     F.array_join(F.slice("toks", F.col("start"), F.col("len")), " ").alias("alias"))
+    q = q.select("lib", "query_id", "toks", F.posexplode("toks").alias("at", "tok")).join(begins, ["lib", "tok"])
+    fits = F.filter("lengths", lambda n: F.col("at") + n <= F.size("toks"))
+    q = q.select("lib", "query_id", (F.col("at") + 1).alias("start"), F.slice("toks", F.col("at") + 1, F.col("longest")).alias("ahead"), F.explode(fits).alias("len"))
+    grams = q.select("lib", "query_id", "start", "len", F.array_join(F.slice("ahead", F.lit(1), F.col("len")), " ").alias("alias"))
     hits = grams.join(known, ["lib", "alias"])
     cands = hits.groupBy("lib", "query_id").agg(F.array_sort(F.collect_list(
         F.struct("start", (-F.col("len")).alias("neg"), "alias"))).alias("c"))

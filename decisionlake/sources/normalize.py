@@ -6,7 +6,7 @@ as a flag so that they can be counted; ``messages`` filters them out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decisionlake.functions.content import bind, flatten_content, kind, strip
@@ -175,7 +175,8 @@ def norm_history(raw_docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
 def norm_markdown_chat(raw_lines: DataFrame, max_chars: int = MAX_CHARS, block: int = 1 << 16) -> DataFrame:
     """Markdown chat log: ``#### `` is the user, ``>`` and other ``#`` lines are echo, prose is the assistant.
 
-    A turn's start is carried along the file in blocks, so one long log is spread over many tasks.
+    A turn's start is carried along the file in blocks, so one long log is spread over many tasks; of a turn only the lines that
+    begin within its first ``max_chars`` characters are put together.
     """
     l = F.col("line")
     mark = (F.when(l.startswith("# aider chat started"), "reset").when(l.startswith("#### "), "user")
@@ -188,11 +189,38 @@ def norm_markdown_chat(raw_lines: DataFrame, max_chars: int = MAX_CHARS, block:
     # a blank line belongs to an open assistant turn only
     rows = rows.where("turn.mark in ('user', 'assistant') and (mark is not null or turn.mark = 'assistant')")
     body = F.when(F.col("mark") == "user", F.substr("line", F.lit(6))).otherwise(l)
-    turns = rows.groupBy("agent", "unit_id", F.col("turn.line_no").alias("line_no"), F.col("turn.mark").alias("role")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", body.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
-    text = F.left(strip(F.col("t")), F.lit(max_chars))
-    return turns.select("agent", "unit_id", "line_no", "role", text.alias("text"),
-                        F.lit(None).cast("timestamp").alias("ts"), (strip(F.col("t")) == "").alias("skipped"))
+    turns = _first_lines(rows.select(*keys, F.col("turn.line_no").alias("start"), F.col("turn.mark").alias("role"), "line_no", body.alias("t")), max_chars, block)
+    return turns.select("agent", "unit_id", F.col("start").alias("line_no"), "role", "text", F.lit(None).cast("timestamp").alias("ts"), (F.col("text") == "").alias("skipped"))
+
+
+def _first_lines(rows: DataFrame, max_chars: int, block: int) -> DataFrame:
+    """rows (agent, unit_id, start, role, line_no, t), the lines of turns -> (agent, unit_id, start, role, text): the first ``max_chars``
+    characters of each turn's stripped text.
+
+    A running length in two passes: inside a block of lines, and over a turn's blocks, one row each. Lines that begin later are
+    dropped before a turn is put together, so a turn of any length takes ``max_chars`` characters of memory.
+    """
+    key = ["agent", "unit_id", "start", "role"]
+    rows = rows.withColumn("blk", F.expr(f"line_no div {block}"))
+    filled = F.when(strip(F.col("t")) != "", F.col("line_no"))
+    blocks = rows.groupBy(*key, "blk").agg(F.min(filled).alias("first"), F.max(filled).alias("last"))
+    whole = Window.partitionBy(*key)
+    blocks = blocks.select(*key, "blk", F.min("first").over(whole).alias("first"), F.max("last").over(whole).alias("last"))
+    rows = rows.join(blocks, [*key, "blk"])
+    blank = rows.where("first is null").select(*key).distinct().withColumn("text", F.lit(""))
+    # what comes before the first character that counts has no length; a line and its break are cut to what may still show
+    rows = rows.where("line_no >= first").withColumn("t", F.left(F.when(F.col("line_no") == F.col("first"), F.regexp_replace("t", r"(?U)^\s+", "")).otherwise(F.col("t")), F.lit(max_chars)))
+    size = F.length("t").cast("bigint") + 1
+    before = Window.partitionBy(*key).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*key, "blk").agg(F.sum(size).alias("size"))
+    offsets = sizes.select(*key, "blk", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(*key, "blk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("ahead", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(offsets, [*key, "blk"]).where(F.col("ahead") + F.col("offset") <= max_chars)
+    put = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]), "\n")
+    turns = rows.groupBy(*key).agg(put.alias("t"), (F.max("line_no") < F.max("last")).alias("more"))
+    # blanks at the end stay where more text follows them
+    text = F.left(F.when(F.col("more"), F.col("t")).otherwise(F.regexp_replace("t", r"(?U)\s+$", "")), F.lit(max_chars))
+    return turns.select(*key, text.alias("text")).unionByName(blank)
 
 
 def norm_table_chat(sessions_tbl: DataFrame, messages_tbl: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:

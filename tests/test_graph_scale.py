@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from decisionlake.operators import graph, resolve
+from decisionlake.operators.alias import match_aliases
 
 EDGE = "lib string, src_id string, dst_id string"
 
@@ -87,3 +88,12 @@ def test_a_trail_follows_its_output(spark, monkeypatch):
     ends = spark.createDataFrame([("l", q, end, "literal", "") for q in (1, 2)], "lib string, query_id int, endpoint string, via string, alias string")
     trail = resolve.resolve_trail(library, resolve.Resolution(None, ends, None, matches))
     assert {tuple(r) for r in trail.groupBy("query_id").count().collect()} == {(1, n - 1), (2, 9)} and len(rounds) <= 60
+
+
+def test_a_long_alias_costs_only_where_it_begins(spark):
+    long = " ".join(["zulu"] + [f"t{i}" for i in range(999)])
+    aliases = spark.createDataFrame([("l", long), ("l", "alpha"), ("l", "alpha beta"), ("l", "api"), ("m", "beta")], "lib string, alias string")
+    queries = spark.createDataFrame([("l", 1, "Alpha beta alpha"), ("l", 2, f"see {long} now"), ("l", 3, "zulu t0"), ("m", 4, "alpha beta"), ("l", 5, "the api"), ("l", 6, None)],
+                                    "lib string, query_id int, text string")
+    got = {(r.query_id, r.alias) for r in match_aliases(queries, aliases).collect()}
+    assert got == {(1, "alpha beta"), (1, "alpha"), (2, long), (4, "beta")}

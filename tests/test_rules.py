@@ -10,6 +10,7 @@ from decisionlake import config
 from decisionlake.functions.text import extract_source_paths
 from decisionlake.functions.times import normalize_ts
 from decisionlake.operators.library import search
+from decisionlake.sources.normalize import norm_markdown_chat
 
 
 def paths(text):
@@ -62,3 +63,22 @@ def test_search_looks_at_each_text_by_itself(spark):
     asks = ["alpha accepted", "accepted x", "x beta", "gamma", "alpha beta", "BETA GAMMA", "x accepted"]
     q = spark.createDataFrame([("l", i, t) for i, t in enumerate(asks)], "lib string, query_id int, text string")
     assert {asks[r.query_id] for r in search(records, q, 5).collect()} == {"alpha accepted", "accepted x", "gamma", "BETA GAMMA"}
+
+
+def test_markdown_turns_hold_their_first_characters_only(spark):
+    def stripped(lines, most):
+        return "\n".join(lines).strip()[:most]
+    random.seed(5)
+    turns, rows = [], []
+    for i in range(120):
+        role = "user" if i % 2 == 0 else "assistant"
+        lines = ["".join(random.choice(" ab\t") for _ in range(random.choice([0, 1, 5, 40]))) for _ in range(random.choice([1, 2, 9, 40]))]
+        if role == "assistant":
+            lines[0] = " x" + lines[0]
+        start = len(rows) + 1
+        rows += [("#### " if role == "user" else "") + x for x in lines]
+        turns.append((start, role, stripped(lines, 50)))
+    df = spark.createDataFrame([("a", "u", i + 1, x) for i, x in enumerate(rows)], "agent string, unit_id string, line_no long, line string").repartition(4)
+    for block in (7, 1 << 16):
+        got = {(r.line_no, r.role, r.text) for r in norm_markdown_chat(df, 50, block).collect()}
+        assert got == set(turns)
