@@ -55,3 +55,8 @@ def first_ts(obj: Column) -> Column:
 def iso_day(value: Column) -> Column:
     """Strict YYYY-MM-DD text -> date, NULL for any other text."""
     return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), value.try_cast("date"))
+
+
+def utc_day(ts: Column) -> Column:
+    """The day of a timestamp in UTC, whatever the session time zone is."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros(ts.cast("timestamp")) / 86_400_000_000).cast("int"))

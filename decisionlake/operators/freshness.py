@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from decisionlake import config
 from decisionlake.functions import text as tx
+from decisionlake.functions.times import utc_day
 from decisionlake.operators.library import extract_source_paths, review_baseline
 
 ROOTS = ("", "decisions/")
@@ -14,7 +15,9 @@ ROOTS = ("", "decisions/")
 
 def last_changes(file_changes: DataFrame) -> DataFrame:
     """Latest change day per path: only that one matters, so the history is reduced before any join."""
-    return file_changes.groupBy("lib", "path").agg(F.max(F.to_date("commit_ts")).alias("last_change"))
+    at = F.col("commit_ts")
+    day = utc_day(at) if dict(file_changes.dtypes)["commit_ts"] == "timestamp" else F.to_date(at)
+    return file_changes.groupBy("lib", "path").agg(F.max(day).alias("last_change"))
 
 
 def changed_after(paths: DataFrame, file_changes: DataFrame, root: str = "decisions/") -> DataFrame:

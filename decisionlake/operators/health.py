@@ -44,7 +44,9 @@ def validate_records(library: Library, today: str, labels: list[str] | None = No
     rows = base.select("lib", F.col("path").alias("subject"), F.explode(F.array_compact(F.array(*rules))).alias("f")).select(
         "lib", "subject", "f.severity", "f.code", "f.detail")
 
-    twice = r.groupBy("lib", "type", "number").agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("path")).where("n > 1")
+    # every record after the first one of its number, in library order
+    taken = r.groupBy("lib", "type", "number").agg(F.min("path").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = r.join(taken, ["lib", "type", "number"]).where("path <> owner")
     link = F.concat_ws(" ", pad("status"), pad("supersedes"), pad("related"))
     refs = r.where(F.lower(link).contains("supersed")).select(
         "lib", "path", "rec_id", F.explode(tx.id_refs(link, tx.strict_ref(labels))).alias("ref")).where("ref <> rec_id")

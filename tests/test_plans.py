@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 NAMES = ["assemble_chains", "assess_staleness", "ghost_sources", "gated_paths", "attribute_cwd", "attribute_encoded",
          "incremental_delta", "top_k_bm25", "expand_query", "reconcile_claims", "recall_stats", "run_cost", "selfcheck_apply",
-         "get_record", "fold_runs", "price_lookup", "evidence"]
+         "get_record", "fold_runs", "price_lookup", "evidence", "search", "attribute_mention", "match_aliases"]
 
 
 def plan(spark, name):

@@ -14,7 +14,8 @@ QUICK = ["assemble_chains", "assign_numbers", "resolve_current", "supersede_edge
          "norm_turns", "norm_document", "norm_seeded", "norm_message_dir", "norm_history", "norm_markdown_chat", "norm_table_chat",
          "coverage", "project_index", "attribute_cwd", "attribute_mention", "parse_records", "validate_runs", "ledger_upsert",
          "stream_sessions", "fold_runs", "top_k_bm25", "pack_chunks_overlap", "expand_query", "reconcile_claims",
-         "validate_signals", "run_cost", "value_lenses", "calibration_verdict", "recall_stats", "score_verdict", "selfcheck_apply"]
+         "validate_signals", "run_cost", "value_lenses", "calibration_verdict", "recall_stats", "score_verdict", "selfcheck_apply",
+         "collect", "search", "resolve_trail", "match_aliases", "supersede_cycles", "fold_runs_stream"]
 NAMES = list(registry.QUERIES) if os.environ.get("DL_QUERIES") == "all" else QUICK
 
 

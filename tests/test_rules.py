@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from decisionlake import config
 from decisionlake.functions.text import extract_source_paths
 from decisionlake.functions.times import normalize_ts
+from decisionlake.operators.freshness import last_changes
+from decisionlake.operators.gates import gates_report, parse_changes, refused_changes
+from decisionlake.operators.health import validate_records
 from decisionlake.operators.library import search
+from decisionlake.operators.resolve import Library
 from decisionlake.sources.normalize import norm_markdown_chat
 
 
@@ -82,3 +86,32 @@ def test_markdown_turns_hold_their_first_characters_only(spark):
     for block in (7, 1 << 16):
         got = {(r.line_no, r.role, r.text) for r in norm_markdown_chat(df, 50, block).collect()}
         assert got == set(turns)
+
+
+def test_days_are_utc_in_any_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT 'l' AS lib, 'p' AS path, timestamp_seconds(1767225600 + 3600) AS commit_ts")
+        assert last_changes(df).first().last_change == dt.date(2026, 1, 1)
+        assert last_changes(df.withColumn("commit_ts", F.lit("2026-01-05").cast("date"))).first().last_change == dt.date(2026, 1, 5)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_every_later_record_of_a_number_is_a_finding(spark):
+    rows = [{"lib": "l", "label": "ADR", "type": "adr", "number": n, "rec_id": f"ADR {n:04d}", "path": f"{n:04d}-{k}.md", "title": "t", "body": "", "field_text": "", "entity": 0}
+            | {c: "" for c in config.FIELD_COLUMNS.values()} | {"status": "Accepted", "date": "2026-01-01", "decider": "d", "label": "XDR" if k == "d" else "ADR"}
+            for n, ks in ((1, "abc"), (2, "d")) for k in ks]
+    found = validate_records(Library.of(spark.createDataFrame(rows)), "2030-01-01").collect()
+    assert sorted(r.subject for r in found if r.code == "duplicate_number") == ["0001-b.md", "0001-c.md"]
+    assert [(r.subject, r.detail) for r in found if r.code == "unknown_label"] == [("0002-d.md", "XDR")]
+
+
+def test_a_change_that_leaves_the_project_is_refused(spark):
+    diffs = spark.createDataFrame([("l", "good", "src/a.py"), ("l", "bad", "../x.py\nsrc/a.py"), ("l", "root", "/etc/x")], "lib string, change_key string, diff string")
+    refused = refused_changes(parse_changes(diffs))
+    assert {r.change_key for r in refused.collect()} == {"bad", "root"}
+    per_lib = spark.createDataFrame([("l", g, "pass") for g in ("validation", "integrity", "staleness", "anchoring")], "lib string, gate string, status string")
+    per_change = spark.createDataFrame([("l", k, g, "pass") for k in ("good", "bad", "root") for g in ("denylist", "evidence_presence")], "lib string, change_key string, gate string, status string")
+    report = {r.change_key: (r.validation, r.denylist, r.ok) for r in gates_report(diffs, per_lib, per_change, refused).collect()}
+    assert report == {"good": ("pass", "pass", True), "bad": ("pass", None, False), "root": ("pass", None, False)}
