@@ -51,14 +51,18 @@ def _double(state: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     state = cut(state)
     closed = state.where("not open")
     active = state.where("open")
-    seen = None
+    last = images = None
     for _ in range(MAX_ROUNDS):
-        n, images = active.agg(F.count(F.lit(1)), F.count_distinct("lib", "ptr")).first()
+        n = active.count()
         if n == 0:
             return closed, None
-        if seen == (n, images):
-            return closed, active
-        seen = (n, images)
+        if n == last:                                       # nothing was closed: only now can all that is left loop
+            now = active.agg(F.count_distinct("lib", "ptr")).first()[0]
+            if now == images:
+                return closed, active
+            images = now
+        else:
+            last, images = n, None
         jump = closed.unionByName(active).select(
             "lib", F.col("rec_id").alias("ptr"), F.col("ptr").alias("ptr2"),
             F.col("hops").alias("hops2"), F.col("open").alias("open2"))

@@ -113,7 +113,8 @@ def resolve_query(library: Library, queries: DataFrame, use_aliases: bool = True
     res = resolve(library, queries, use_aliases)
     ends = cut(res.endpoints)
     info = library.records.groupBy("lib", F.col("rec_id").alias("endpoint")).agg(
-        F.min("title").alias("title"), F.min(tx.effective_date(F.col("date"), F.col("decided_originally"))).alias("date"))
+        F.min("title").alias("title"), F.min(tx.effective_date(F.col("date"), F.col("decided_originally"))).alias("date"),
+        *[F.min(c).alias(c) for c in ("status", "path", "aliases")])
     replaced = graph.immediately_replaced(
         library.records, ends.where("via = 'literal'").select("lib", F.col("endpoint").alias("rec_id")))
     rows = (ends.join(info, ["lib", "endpoint"])
@@ -121,7 +122,7 @@ def resolve_query(library: Library, queries: DataFrame, use_aliases: bool = True
                   ["lib", "endpoint", "via"], "left"))
     return res.summary.join(rows, ["lib", "query_id"], "left").select(
         "lib", "query_id", "matched_records", "conflict", "resolved_unique", "note",
-        "endpoint", "via", "alias", "title", "date", "replaced_id")
+        "endpoint", "via", "alias", "title", "date", "status", "path", "aliases", "replaced_id")
 
 
 def resolve_trail(library: Library, res: Resolution) -> DataFrame:

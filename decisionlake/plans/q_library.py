@@ -149,7 +149,7 @@ def match_aliases(spark, d):
 
 
 @query("resolve_query", over_queries(_Q, """
-SELECT s.lib, s.query_id, s.matched_records, s.conflict, s.resolved_unique, s.note, e.endpoint, e.via, e.alias, r.title,
+SELECT s.lib, s.query_id, s.matched_records, s.conflict, s.resolved_unique, s.note, e.endpoint, e.via, e.alias, r.title, r.status, r.path, r.aliases,
        CASE WHEN r.decided_originally <> '' THEN r.decided_originally ELSE r.date END AS date,
        CASE WHEN e.via = 'literal' THEN p.replaced_id END AS replaced_id
 FROM o_summary s LEFT JOIN o_ends e ON e.lib = s.lib AND e.query_id = s.query_id

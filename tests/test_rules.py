@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from decisionlake import config
-from decisionlake.functions.text import extract_source_paths
+from decisionlake.functions.text import extract_source_paths, slugify
 from decisionlake.functions.times import normalize_ts
+from decisionlake.operators.attribution import attribute_table
 from decisionlake.operators.freshness import last_changes
 from decisionlake.operators.gates import gates_report, parse_changes, refused_changes
 from decisionlake.operators.health import validate_records
@@ -115,3 +116,20 @@ def test_a_change_that_leaves_the_project_is_refused(spark):
     per_change = spark.createDataFrame([("l", k, g, "pass") for k in ("good", "bad", "root") for g in ("denylist", "evidence_presence")], "lib string, change_key string, gate string, status string")
     report = {r.change_key: (r.validation, r.denylist, r.ok) for r in gates_report(diffs, per_lib, per_change, refused).collect()}
     assert report == {"good": ("pass", "pass", True), "bad": ("pass", None, False), "root": ("pass", None, False)}
+
+
+def test_table_sessions_without_a_folder_count_everywhere(spark):
+    sessions = spark.createDataFrame([("a", "1", "/w/p/"), ("a", "2", None), ("a", "3", ""), ("a", "4", "/w/p/sub"), ("a", "5", "/other")], "agent string, unit_id string, cwd string")
+    projects = spark.createDataFrame([("/w/p",), ("/w",)], "project string")
+    assert {(r.unit_id, r.project) for r in attribute_table(sessions, projects).collect()} == {("1", "/w/p"), ("2", None)}
+    assert {(r.unit_id, r.project) for r in attribute_table(sessions, projects, True).collect()} == {
+        ("1", "/w/p"), ("1", "/w"), ("2", None), ("4", "/w/p"), ("4", "/w")}
+
+
+def test_slugs(spark):
+    def slug(text):
+        s = re.sub(r"[^a-z0-9]+", "-", text.strip().lower()).strip("-")
+        return (s or "untitled")[:80].strip("-")
+    texts = ["Use Postgres!", "  --A__b..c  ", "", "!!!", "x" * 100, "a" * 79 + "-b" * 5, "Ünïcode ß"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", slugify(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in rows} == {t: slug(t) for t in texts}
