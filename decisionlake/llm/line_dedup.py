@@ -8,8 +8,8 @@ least ``threshold``. "Earlier" is the order of (doc_id, hash of the text, line n
 2. Each line becomes its words' keys in that order, its prefix (of which two similar lines share a word) and a bitmap. This
    table is written once; it holds no whole sets.
 3. Lines with equal sets meet by aggregation alone; only the first line of each set goes on.
-4. Groups first: where several sets share one of their rarest words, each is compared with the group's earliest
-   member, which settles most members of a large group of near copies; of what is left, large groups do so again, up to
+4. Groups first: where several sets share one of the words their prefix ends with (near copies differ in their rarest
+   ones, and share these), each is compared with the group's earliest member, which settles most members of a large group of near copies; of what is left, large groups do so again, up to
    ``ROUNDS`` times, each with its next earliest member. A round costs one pair a member and word, whatever the group's size.
 5. The sets that are still open meet all earlier sets in one equi-join on prefix words. The length, positional and
    bitmap filters, all of them exact bounds, are part of the join, so only likely pairs leave it.
@@ -38,10 +38,10 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 THRESHOLD = 0.8
 BUCKETS = 1 << 16                         # of the word counts: one byte each in the plan, whatever the vocabulary
 SMALL_ROWS = 500_000                      # rows of (id, hash, line) that may be broadcast, about 15 MB
-HOT = 4                                   # sets that share a rare word before they are compared with the earliest first
-ROUNDS = 12                               # of that, at most
+HOT = 4                                   # sets that share such a word before they are compared with the earliest first
+ROUNDS = 3                                # of that, at most
 LARGE = 128                               # open sets in a group for another round
-HOT_WORDS = 3                             # of how many of a set's rarest words
+HOT_WORDS = 3                             # of how many of a prefix's last words
 AT = ["d", "th", "line_no"]               # a line's place
 NO_ID = -(1 << 63)
 
@@ -175,10 +175,10 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # groups first: their earliest members settle most of the others
     size_class = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
-    rare = sets.select(*AT, "n", "bm1", "bm2", size_class.alias("c"), F.explode(F.slice("prefix", 1, HOT_WORDS)).alias("w"))
+    shared = sets.select(*AT, "n", "bm1", "bm2", size_class.alias("c"), F.explode(F.slice("prefix", F.greatest(F.lit(1), F.size("prefix") - (HOT_WORDS - 1)), F.lit(HOT_WORDS))).alias("w"))
     settled = led = None
     for turn in range(ROUNDS):
-        fresh = rare if led is None else rare.join(_small(settled), AT, "left_anti").join(_small(led), AT, "left_anti")
+        fresh = shared if led is None else shared.join(_small(settled), AT, "left_anti").join(_small(led), AT, "left_anti")
         leaders = fresh.groupBy("w", "c").agg(F.min(F.struct(*AT, "n", "bm1", "bm2")).alias("l"), F.count(F.lit(1)).alias("members"))
         leaders = cut(leaders.where(F.col("members") >= (HOT if turn == 0 else LARGE)).select("w", "c", "l.*"))
         if turn and leaders.isEmpty():
