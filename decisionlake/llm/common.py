@@ -15,6 +15,7 @@ SPACE = r"[\x20\x09-\x0D]"               # what separates words, in every operat
 WORD = r"[^\x20\x09-\x0D]+"
 CACHED_CHUNKS = 1 << 19                  # entries of an encoder's cache in one worker (memory only, never results)
 CACHED_LENGTH = 64                       # longer chunks are encoded anew each time
+WORD_END = r"([a-zA-Zà-öø-ÿ])([.,]+)( |$)"      # a letter, points or commas, and no more
 JOINED_CHUNKS = 200                      # new words in one call of a tokenizer
 BATCH_ROWS = 512                         # rows an operator holds at once in a Python worker
 
@@ -70,37 +71,61 @@ class ChunkCache:
         return lambda c: known[c] if c in known else made[c]
 
 
+class Generations:
+    """chunk -> encoded value in two generations of at most half of ``CACHED_CHUNKS`` each.
+
+    A full young generation becomes the old one, and what is asked for again moves over: frequent chunks are never made
+    anew, and memory stays bounded. Results never depend on it.
+    """
+
+    def __init__(self, encode_many):
+        self._encode_many, self._young, self._old = encode_many, {}, {}
+
+    def values(self, chunks: list[str]) -> list:
+        """The value of every chunk of a list without repeats; what is new is made in one call."""
+        found = list(map(self._young.get, chunks))
+        places = [i for i, v in enumerate(found) if v is None]
+        if not places:
+            return found
+        new = [chunks[i] for i in places]
+        made = list(map(self._old.get, new))
+        unknown = [i for i, v in enumerate(made) if v is None]
+        for i, v in zip(unknown, self._encode_many([new[i] for i in unknown]) if unknown else [], strict=True):
+            made[i] = v
+        if len(self._young) + len(made) > CACHED_CHUNKS // 2:
+            self._young, self._old = {}, self._young
+        kept = zip(new, made, strict=True)
+        if max(map(len, new)) > CACHED_LENGTH:
+            kept = [(c, v) for c, v in kept if len(c) <= CACHED_LENGTH]
+        if len(made) <= CACHED_CHUNKS // 2:
+            self._young.update(kept)
+        for i, v in zip(places, made, strict=True):
+            found[i] = v
+        return found
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer file that drops white space, folds case and never joins letters to punctuation.
 
-    Texts are cut at blanks and line feeds and each distinct chunk is encoded once. Points and commas after a letter
-    are cut off a new chunk first, so that a word is encoded once with and without them. Many new words go to the library
-    in one call and are told apart again by their offsets. Ids are little-endian unsigned 32-bit bytes.
+    Texts are cut at blanks and line feeds, and points and commas at the end of a word are set off, so each distinct word is
+    encoded once. Many new words go to the library in one call and are told apart again by their offsets. Texts that may
+    name a special token keep their case, since such names are told by case. Ids are unsigned 32-bit numbers.
+
+    The traits this rests on are tried once when a file is loaded; a tokenizer that lacks one is refused.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
-        self._words: dict[str, bytes] = {}
-        self._cache = ChunkCache(self._encode)
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        words, tails = [], []
-        for c in chunks:
-            word = c.rstrip(".,")
-            if word == c or not word[-1:].lower().isalpha():
-                word = c
-            tails.append(c[len(word):])
-            words.append(word.lower() if word.isascii() else word)
-        words_and_tails = set(words).union(tails)
-        if len(self._words) > CACHED_CHUNKS:
-            self._words = {}
-        new = list(words_and_tails.difference(self._words))
-        made = dict(zip(new, self._encode_words(new), strict=True))
-        self._words.update((w, v) for w, v in made.items() if len(w) <= CACHED_LENGTH)
-        known = self._words
-        get = lambda w: made[w] if w in made else known[w]
-        return [get(w) + (get(t) if t else b"") for w, t in zip(words, tails, strict=True)]
+        self._require_traits(path)
+        self._words = Generations(self._encode_words)
+
+    def _require_traits(self, path: str) -> None:
+        ids = lambda text: self._tokenizer.encode(text, add_special_tokens=False).ids
+        for part, whole in ((["One", "two"], "One two"), (["One", "two"], "One\n two"), (["one"], "ONE"), (["one", ".,"], "one.,"),
+                            (["\u00e9t\u00e9", "."], "\u00e9t\u00e9."), (["one"], " one ")):
+            if sum(map(ids, part), []) != ids(whole):
+                raise ValueError(f"{path}: {whole!r} is not encoded as the row {part!r}, so texts cannot be cut into words")
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         import numpy as np
@@ -116,10 +141,28 @@ class WordEncoder:
                 at = end
         return out
 
+    def encode_column(self, texts):
+        """(ids, begins) of an Arrow column: the ids of all texts in one row, and where each text's begin; the last entry is their number."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        texts = pc.fill_null(texts, "")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), WORD_END, r"\1 \2\3")
+        words = pc.split_pattern(texts, " ")
+        coded = pc.dictionary_encode(words.flatten())
+        values = self._words.values(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        values = pa.array(values, pa.large_binary()).take(coded.indices)
+        _, ends, data = values.buffers()
+        ends = np.frombuffer(ends, np.int64, len(values) + 1) >> 2
+        firsts = np.asarray(words.offsets)
+        return np.frombuffer(data or b"", "<u4", int(ends[-1])), ends[firsts - firsts[0]]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        get = self._cache.lookup(chunks)
-        return [b"".join(map(get, c)) for c in chunks]
+        """One text's ids as little-endian bytes each."""
+        import pyarrow as pa
+        ids, begins = self.encode_column(pa.array(texts, pa.large_string()))
+        return [ids[a:z].tobytes() for a, z in zip(begins[:-1], begins[1:], strict=True)]
 
 
 _ENCODERS: dict[tuple, object] = {}

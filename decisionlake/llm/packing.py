@@ -42,8 +42,9 @@ def _pieces(tokenizer: str, capacity: int, end_id: int):
         width = capacity * 4
         for b in slices(batches):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder.encode(b.column("text").to_pylist())):
-                ids += end
+            all_ids, begins = encoder.encode_column(b.column("text"))
+            for i, (a, z) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
+                ids = all_ids[a:z].tobytes() + end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at:at + width]
                     row.append(i)

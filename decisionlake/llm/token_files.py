@@ -18,10 +18,12 @@ are kept in one struct column and so cannot clash.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from decisionlake.llm.common import WordEncoder, slices, vocabulary, worker_encoder
 
@@ -29,6 +31,7 @@ END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
+MAX_RANGES = 10_000                       # bounds are held by the driver
 
 
 def _encode(tokenizer: str, end_id: int, has_meta: bool):
@@ -36,13 +39,11 @@ def _encode(tokenizer: str, end_id: int, has_meta: bool):
         import numpy as np
         import pyarrow as pa
         encoder, start = worker_encoder(WordEncoder, tokenizer), 0
-        end = np.asarray([end_id], "<u4").tobytes()
         for b in slices(batches):
-            raw = [x + end for x in encoder.encode(b.column("text").to_pylist())]
-            sizes = np.fromiter((len(x) >> 2 for x in raw), np.int64, len(raw))
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
-            out = [b.column("doc_id"), ids, pa.array(sizes), pa.array(start + offsets[:-1].astype(np.int64))]
+            ids, begins = encoder.encode_column(b.column("text"))
+            sizes, offsets = np.diff(begins) + 1, begins + np.arange(len(begins))           # with the end ids
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.insert(ids, begins[1:], end_id).astype(np.int32)))
+            out = [b.column("doc_id"), ids, pa.array(sizes), pa.array(start + offsets[:-1])]
             start += int(offsets[-1])
             names = ["doc_id", "ids", "n_tokens", "local_start"]
             if has_meta:
@@ -52,6 +53,26 @@ def _encode(tokenizer: str, end_id: int, has_meta: bool):
     return run
 
 
+def _in_ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt by ranges of ``doc_id``, in ascending order of the ranges; the bounds come from the ids alone, texts are not sampled."""
+    if not isinstance(rows.schema["doc_id"].dataType, IntegralType):
+        return rows.repartitionByRange("doc_id")
+    ranges = min(MAX_RANGES, max(1, rows.rdd.getNumPartitions(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    shares = [i / ranges for i in range(1, ranges)]
+    found = rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * ranges)).alias("bounds")).first() if shares else None
+    bounds = sorted(set(found.bounds or [])) if found else []
+    if not bounds:
+        return rows.repartitionById(1, F.lit(0))
+    # two steps of about the root of all bounds each: the group of bounds, then the place inside it
+    width = math.isqrt(len(bounds)) + 1
+    groups = [bounds[i:i + width] for i in range(0, len(bounds), width)]
+    below = lambda values: F.size(F.filter(values, lambda b: b < F.col("doc_id")))
+    group = below(F.lit([g[-1] for g in groups]))
+    inside = F.coalesce(below(F.get(F.lit(groups), group)), F.lit(0))
+    at = F.when(F.col("doc_id").isNull(), 0).otherwise(F.least(group * width + F.greatest(inside, F.lit(0)), F.lit(len(bounds))))
+    return rows.repartitionById(len(bounds) + 1, at.cast("int"))
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID,
                       metadata: list[str] | None = None, row_group_bytes: int = ROW_GROUP_BYTES,
                       page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> None:
@@ -63,7 +84,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     schema = f"doc_id {kind}, ids array<int>, n_tokens bigint, local_start bigint"
     if metadata:
         schema += f", meta {rows.schema['meta'].dataType.simpleString()}"
-    encoded = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(
+    encoded = _in_ranges(rows).sortWithinPartitions("doc_id", "text").mapInArrow(
         _encode(tokenizer or vocabulary("word_bpe_49k.json"), end_id, bool(metadata)), schema)
     (encoded.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
      .option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)

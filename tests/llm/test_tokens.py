@@ -105,6 +105,33 @@ def test_token_files(spark, edges, no_rows, words):
     assert token_files.token_digest(spark, empty).collect() == []
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 37])
+def test_token_files_are_dealt_in_order_of_their_ids(spark, ranges):
+    from pyspark.sql import functions as F
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        ids = spark.range(0, 20_000, 1, 1).select((F.col("id") * 7919 % 20_011).alias("doc_id")).union(spark.sql("SELECT CAST(NULL AS LONG)"))
+        dealt = token_files._in_ranges(ids.withColumn("text", F.lit(""))).groupBy(F.spark_partition_id().alias("p")).agg(
+            F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n"), F.count_if(F.isnull("doc_id")).alias("nulls")).orderBy("p").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(r.n for r in dealt) == 20_001 and [r.nulls for r in dealt] == [1] + [0] * (len(dealt) - 1)
+    assert all(x.z < y.a for x, y in zip(dealt, dealt[1:])) and len(dealt) >= ranges
+
+
+def test_special_names_keep_their_case_and_other_tokenizers_are_refused(words):
+    for text in ("A <|ENDOFTEXT|> b.", "A<|endoftext|>B., c", "<|StartOfText|>"):
+        assert ids_of(words.encode([text])[0]) == words._tokenizer.encode(text, add_special_tokens=False).ids
+    words._require_traits("own")
+    class Plain(WordEncoder):
+        def __init__(self):
+            from tokenizers import Tokenizer, models
+            self._tokenizer = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate("OneTwotwN., ELéé")}, merges=[]))
+    with pytest.raises(ValueError):
+        Plain()._require_traits("plain")
+
+
 def check_bins(rows, capacity):
     bins = {}
     for r in rows:
