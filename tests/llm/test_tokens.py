@@ -163,6 +163,11 @@ def test_packing_is_near_best_fit_decreasing(spark):
     for x in sorted(lengths, reverse=True):
         offline.place(x)
     assert len(rows) == 5000 and check_bins(rows, 2048) <= 1.01 * offline.made + 1
+    bounded = packing.OpenBins(2048, packing.OPEN_BINS)
+    for at in range(0, 5000, packing.BLOCK):
+        for x in sorted(lengths[at:at + packing.BLOCK], reverse=True):
+            bounded.place(x)
+    assert bounded.closed > 100 and bounded.made <= 1.01 * offline.made        # the bound acts and costs little
 
 
 def test_best_fit_and_closing():
