@@ -209,5 +209,7 @@ def archive_pages(pages: DataFrame, folder: str) -> DataFrame:
     spark: SparkSession = pages.sparkSession
     write_archives(mark_revisits(pages), f"{folder}/stream").write.parquet(f"{folder}/files")
     files = spark.read.parquet(f"{folder}/files")
+    number = F.regexp_extract("file", r"(\d+)", 1).cast("int")           # a task a file: Spark would read the short list in few
+    files = files.repartitionById((files.agg(F.max(number)).first()[0] or 0) + 1, number)
     normalise(files, f"{folder}/stream", f"{folder}/members").write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
