@@ -26,6 +26,8 @@ table gives an empty result; :func:`dedup_lines` keeps all other columns.
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ from decisionlake.session import cut
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 THRESHOLD = 0.8
-BUCKETS = 1 << 16                         # of the word counts: one byte each in the plan, whatever the vocabulary
+BUCKETS = 1 << 18                         # of the word counts: one byte each in the plan, whatever the vocabulary
 SMALL_ROWS = 500_000                      # rows of (id, hash, line) that may be broadcast, about 15 MB
 HOT = 4                                   # sets that share such a word before they are compared with the earliest first
 ROUNDS = 3                                # of that, at most
@@ -46,43 +48,46 @@ AT = ["d", "th", "line_no"]               # a line's place
 NO_ID = -(1 << 63)
 
 
-def words(line: Column) -> Column:
-    """The words of a line that is not blank."""
-    inner = F.trim(line, F.lit(BLANKS))
-    odd = F.contains(inner, F.lit("  "))
-    for c in BLANKS[1:]:
-        odd = odd | F.contains(inner, F.lit(c))
-    return F.when(odd, F.split(inner, BLANK_RUN)).otherwise(F.split(inner, " "))
+def _plain(text: Column) -> Column:
+    """A text whose words are parted by blanks and line feeds alone; lines and their numbers stay."""
+    odd = F.contains(text, F.lit("\t"))
+    for c in BLANKS[3:]:
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.translate(text, BLANKS.replace("\n", ""), " " * 5)).otherwise(text)
+
+
+def _hashes(line: Column) -> Column:
+    """The distinct words of a plain line as 64-bit hashes; between two blanks there is no word."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"), "text")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"), _plain(F.col("text")).alias("text"))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    rows = documents.select("d", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.where(F.length(F.trim("line", F.lit(BLANKS))) > 0)
+    return documents.select("d", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def word_levels(documents: DataFrame) -> bytes:
     """The magnitude of each bucket's count, four steps for each doubling, as one byte a bucket."""
-    import math
-    found = _lines(documents).select(F.explode(words(F.col("line"))).alias("w")).select(
+    import numpy as np
+    found = documents.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w != ''").select(
         F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").count()
-    levels = bytearray(BUCKETS)
-    for b, n in found.collect():                            # BUCKETS rows at most, whatever the corpus
-        levels[b] = min(127, int(4 * math.log2(n + 1)))
-    return bytes(levels)
+    found = found.toPandas()                                # BUCKETS rows at most, whatever the corpus
+    levels = np.zeros(BUCKETS, np.uint8)
+    levels[found["b"].to_numpy(np.int64)] = np.minimum(127, 4 * np.log2(found["count"].to_numpy(np.float64) + 1))
+    return levels.tobytes()
 
 
 def _keys(line: Column, levels: bytes) -> Column:
     """The distinct words of a line as numbers, rare ones first: magnitude in the highest byte, then 56 bits of the hash."""
-    known = F.lit(levels)
+    known = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")      # folded into one constant
 
     def key(h: Column) -> Column:
-        level = F.ascii(F.substr(known, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
+        level = F.coalesce(F.get(known, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("tinyint"))
         return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return F.sort_array(F.array_distinct(F.transform(F.transform(words(line), lambda w: F.xxhash64(w)), key)))
+    return F.sort_array(F.transform(_hashes(line), key))
 
 
 class Bounds:
@@ -92,32 +97,29 @@ class Bounds:
         t = Fraction(str(threshold))
         self.num, self.den = t.numerator, t.denominator
 
-    def overlap(self, both: Column) -> Column:
-        """The least common words of two sets with ``both`` words together."""
-        whole = self.num + self.den
-        return F.floor((both * self.num + (whole - 1)) / whole).cast("int")
+    def reached(self, common: Column, both: Column) -> Column:
+        """Whether two sets with ``both`` words together may or do reach the threshold with ``common`` common words."""
+        return common * (self.num + self.den) >= both * self.num
 
 
 def _bitmap(keys: Column, low: Column) -> tuple[Column, Column]:
     """Each word flips one bit: of 64 in a short line (second number 0), of 128 in a long one."""
-    def flip(wanted):
-        return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(wanted(k)))
-    bit = lambda k: F.call_function(
-        "shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k, 32).bitwiseAND(F.lit(63)).cast("int"))
-    half = lambda k: F.shiftrightunsigned(k, 38).bitwiseAND(F.lit(1))
-    first = F.when(low, flip(bit)).otherwise(flip(lambda k: F.when(half(k) == 0, bit(k)).otherwise(F.lit(0).cast("long"))))
-    second = F.when(low, F.lit(0).cast("long")).otherwise(flip(lambda k: F.when(half(k) == 1, bit(k)).otherwise(F.lit(0).cast("long"))))
-    return first, second
+    none = F.lit(0).cast("long")
+
+    def flip(one):
+        return F.aggregate(keys, none, lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", one(k), k.bitwiseAND(F.lit(63)).cast("int"))))
+    return flip(lambda k: F.lit(1).cast("long")), F.when(low, none).otherwise(flip(lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(1))))
 
 
 def _keyed(documents: DataFrame, levels: bytes, bounds: Bounds) -> DataFrame:
     """One row a line: place, set id (sid, sid2, n), prefix words and bitmap."""
-    rows = once(_lines(documents), "keys", _keys(F.col("line"), levels)).withColumn("n", F.size("keys"))
-    first, second = _bitmap(F.col("keys"), F.col("n") <= 64)
+    rows = once(_lines(documents), "keys", _keys(F.col("line"), levels)).withColumn("n", F.size("keys")).where("n > 0")
+    every, second = _bitmap(F.col("keys"), F.col("n") <= 64)
+    rows = rows.select(*AT, "keys", "n", every.alias("every"), second.alias("bm2"))
     length = F.expr(f"n - (n * {bounds.num} + {bounds.den - 1}) div {bounds.den} + 1").cast("int")
     prefix = F.transform(F.slice("keys", F.lit(1), length), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     return rows.select(*AT, F.xxhash64("keys").alias("sid"), F.hash("keys").alias("sid2"), "n",
-                       prefix.alias("prefix"), first.alias("bm1"), second.alias("bm2"))
+                       prefix.alias("prefix"), F.col("every").bitwiseXOR(F.col("bm2")).alias("bm1"), "bm2")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -125,23 +127,34 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def _in_groups(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """The rows in groups of ``least`` rows or more. Numbers alone are counted, so no row of another group is sorted or carried."""
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least).drop("rows")
+    return rows.join(_small(cut(counted)), keys)
+
+
 def _likely(a: str, b: str, bounds: Bounds, positional: bool) -> Column:
     """Whether two sets can reach the threshold, by their sizes, the word they share, and their bitmaps."""
     c = lambda side, name: F.col(f"{side}.{name}")
-    na, nb = c(a, "n"), c(b, "n")
-    least = bounds.overlap(na + nb)
-    both_long = (na > 64) & (nb > 64)
-    x1, x2 = c(a, "bm1").bitwiseXOR(c(b, "bm1")), c(a, "bm2").bitwiseXOR(c(b, "bm2"))
-    differ = F.when(both_long, F.bit_count(x1) + F.bit_count(x2)).otherwise(F.bit_count(x1.bitwiseXOR(x2)))
+    n = lambda side: F.abs(F.shiftright(c(side, "size"), 32)) if positional else c(side, "n").cast("long")
+    pos = lambda side: c(side, "size").bitwiseAND(F.lit(0xFFFFFFFF))
+    na, nb = n(a), n(b)
     ok = (na * bounds.den >= nb * bounds.num) & (nb * bounds.den >= na * bounds.num)
     if positional:
-        ok = ok & (F.least(na - c(a, "pos"), nb - c(b, "pos")) >= least)
-    return ok & (differ <= na + nb - 2 * least)
+        ok = ok & bounds.reached(F.least(na - pos(a), nb - pos(b)), na + nb)
+    x1, x2 = c(a, "bm1").bitwiseXOR(c(b, "bm1")), c(a, "bm2").bitwiseXOR(c(b, "bm2"))
+    both_long = (na > 64) & (nb > 64)
+    differ = F.when(both_long, F.bit_count(x1) + F.bit_count(x2)).otherwise(F.bit_count(x1.bitwiseXOR(x2)))
+    return ok & bounds.reached(na + nb - differ, 2 * (na + nb))
 
 
 def _before(b: str, a: str) -> Column:
-    place = lambda side: F.struct(*[F.col(f"{side}.{x}") for x in AT])
-    return place(b) < place(a)
+    """Whether the place on side ``b`` is earlier; column by column, since a structure would be built for every pair."""
+    earlier = F.lit(False)
+    for x in reversed(AT):
+        x_b, x_a = F.col(f"{b}.{x}"), F.col(f"{a}.{x}")
+        earlier = (x_b < x_a) | ((x_b == x_a) & earlier)
+    return earlier
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -154,11 +167,20 @@ def _verified(documents: DataFrame, pairs: DataFrame, bounds: Bounds) -> DataFra
     places = cut(pairs.select(*AT).union(earlier).distinct())
     owners = cut(places.select("d", "th").distinct())
     lines = _lines(documents.join(_small(owners), ["d", "th"], "left_semi")).join(_small(places), AT, "left_semi")
-    sets = lines.select(*AT, F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("words"))
-    both = (pairs.join(sets.withColumnRenamed("words", "wa"), AT)
-            .join(sets.select(*[F.col(x).alias(f"b_{x}") for x in AT], F.col("words").alias("wb")), [f"b_{x}" for x in AT]))
+    sets = lines.select(*AT, _hashes(F.col("line")).alias("words"))
+    # the same columns on both sides, so they share one exchange
+    is_at = lambda side, mark: reduce(and_, [F.col(f"p.{mark}{x}") == F.col(f"{side}.{x}") for x in AT])
+    both = pairs.alias("p").join(sets.alias("a"), is_at("a", "")).join(sets.alias("b"), is_at("b", "b_"))
+    both = both.select(*[F.col(f"p.{x}") for x in AT], F.col("a.words").alias("wa"), F.col("b.words").alias("wb"))
     common = F.size(F.array_intersect("wa", "wb"))
-    return both.where(common * (bounds.num + bounds.den) >= bounds.num * (F.size("wa") + F.size("wb"))).select(*AT).distinct()
+    return both.where(bounds.reached(common.cast("long"), F.size("wa").cast("long") + F.size("wb").cast("long"))).select(*AT).distinct()
+
+
+def _postings(sets: DataFrame) -> DataFrame:
+    """One row a set and prefix word. ``size`` holds, from the high end, n (below zero for a settled set) and the word's position: few
+    columns make small shuffles."""
+    rows = sets.select(*AT, "n", "bm1", "bm2", F.posexplode("prefix").alias("pos", "w"))
+    return rows.select(*AT, "bm1", "bm2", "w", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("size"))
 
 
 def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -167,8 +189,8 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keyed = cut(_keyed(documents, word_levels(documents), bounds))
 
     place = F.struct(*AT)
-    again = keyed.groupBy("sid", "sid2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("lines")).where("lines > 1").drop("lines")
-    again = cut(again)
+    repeated = _in_groups(keyed.select("sid", "sid2", *AT), ["sid", "sid2"], 2)
+    again = cut(repeated.groupBy("sid", "sid2").agg(F.min(place).alias("first")))
     marked = keyed.join(_small(again), ["sid", "sid2"], "left")
     copies = marked.where(F.col("first").isNotNull() & (place != F.col("first"))).select(*AT)
     sets = marked.where(F.col("first").isNull() | (place == F.col("first"))).select(*AT, "n", "prefix", "bm1", "bm2")
@@ -176,11 +198,14 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # groups first: their earliest members settle most of the others
     size_class = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
     shared = sets.select(*AT, "n", "bm1", "bm2", size_class.alias("c"), F.explode(F.slice("prefix", F.greatest(F.lit(1), F.size("prefix") - (HOT_WORDS - 1)), F.lit(HOT_WORDS))).alias("w"))
-    settled = led = None
+    shared = _in_groups(shared, ["w", "c"], HOT)
+    settled = led = large = None
     for turn in range(ROUNDS):
-        fresh = shared if led is None else shared.join(_small(settled), AT, "left_anti").join(_small(led), AT, "left_anti")
-        leaders = fresh.groupBy("w", "c").agg(F.min(F.struct(*AT, "n", "bm1", "bm2")).alias("l"), F.count(F.lit(1)).alias("members"))
-        leaders = cut(leaders.where(F.col("members") >= (HOT if turn == 0 else LARGE)).select("w", "c", "l.*"))
+        fresh = shared
+        if turn:
+            large = cut(_in_groups(shared, ["w", "c"], LARGE)) if large is None else large
+            fresh = _in_groups(large.join(_small(settled), AT, "left_anti").join(_small(led), AT, "left_anti"), ["w", "c"], LARGE)
+        leaders = cut(fresh.groupBy("w", "c").agg(F.min(F.struct(*AT, "n", "bm1", "bm2")).alias("l")).select("w", "c", "l.*"))
         if turn and leaders.isEmpty():
             break
         led = cut(leaders.select(*AT).distinct() if led is None else led.unionByName(leaders.select(*AT)).distinct())
@@ -188,11 +213,13 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         more = _verified(documents, pairs, bounds)
         settled = cut(more if settled is None else settled.unionByName(more).distinct())
 
-    # all that is open against all that is earlier; one exchange serves both sides, as no condition is on one side alone
+    # all that is open against all that is earlier; both sides read the same columns and no condition is on one side alone, so one
+    # exchange serves both: a size below zero marks a settled set
     open_sets = sets.join(_small(settled).withColumn("settled", F.lit(True)), AT, "left")
-    postings = open_sets.select(*AT, "n", "bm1", "bm2", F.col("settled").isNull().alias("open"), F.posexplode("prefix").alias("pos", "w"))
+    signed = F.when(F.col("settled"), -F.col("n")).otherwise(F.col("n"))
+    postings = _postings(open_sets.withColumn("n", signed))
     met = postings.alias("a").join(postings.alias("b"), F.col("a.w") == F.col("b.w")).where(
-        F.when(F.col("a.open") & _before("b", "a"), _likely("a", "b", bounds, True)).otherwise(F.lit(False)))
+        F.when((F.col("a.size") > 0) & _before("b", "a"), _likely("a", "b", bounds, True)).otherwise(F.lit(False)))
     found = _verified(documents, _pairs(met), bounds)
     return copies.unionByName(settled).unionByName(found)
 

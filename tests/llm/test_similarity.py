@@ -57,6 +57,27 @@ def test_line_dedup_without_broadcasts(spark, monkeypatch):
     assert {r.doc_id: list(r.removed) for r in rows if r.removed} == dict(gone_lines(docs))
 
 
+def test_line_dedup_deals_prefix_words_once(spark, monkeypatch):
+    plans, pairs = [], line_dedup._pairs
+    monkeypatch.setattr(line_dedup, "_pairs", lambda joined: plans.append(joined) or pairs(joined))
+    monkeypatch.setattr(line_dedup, "SMALL_ROWS", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        line_dedup.later_matches(spark.createDataFrame(edited_lines(5, 40), "doc_id long, text string"))
+        plans[-1].write.format("noop").mode("overwrite").save()
+        plans[-1].collect()
+        plan = plans[-1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ReusedExchange" in plan                     # both sides of the last join read one shuffle
+
+
+def test_line_dedup_parts_words_at_every_blank(spark):
+    docs = [(1, "a b c d e f\x0b g\th"), (2, "x  a b\fc d\re f g h \n\t \nh g f e d c b a"), (3, "\x0b\nab cd")]
+    rows = line_dedup.removed_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: list(r.removed) for r in rows} == {1: [], 2: [0, 2], 3: []} == {d: gone_lines(docs).get(d, []) for d, _ in docs}
+
+
 def test_line_dedup_edges(spark, edges, no_rows):
     out = line_dedup.dedup_lines(edges)
     assert out.columns == edges.columns and out.count() == edges.count()
