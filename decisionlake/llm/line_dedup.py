@@ -38,7 +38,7 @@ from decisionlake.session import cut
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 THRESHOLD = 0.8
-BUCKETS = 1 << 18                         # of the word counts: one byte each in the plan, whatever the vocabulary
+BUCKETS = 1 << 17                         # of the word counts: one byte each in the plan, whatever the vocabulary
 SMALL_ROWS = 500_000                      # rows of (id, hash, line) that may be broadcast, about 15 MB
 HOT = 4                                   # sets that share such a word before they are compared with the earliest first
 ROUNDS = 3                                # of that, at most
@@ -198,14 +198,17 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # groups first: their earliest members settle most of the others
     size_class = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
     shared = sets.select(*AT, "n", "bm1", "bm2", size_class.alias("c"), F.explode(F.slice("prefix", F.greatest(F.lit(1), F.size("prefix") - (HOT_WORDS - 1)), F.lit(HOT_WORDS))).alias("w"))
-    shared = _in_groups(shared, ["w", "c"], HOT)
     settled = led = large = None
     for turn in range(ROUNDS):
         fresh = shared
         if turn:
-            large = cut(_in_groups(shared, ["w", "c"], LARGE)) if large is None else large
-            fresh = _in_groups(large.join(_small(settled), AT, "left_anti").join(_small(led), AT, "left_anti"), ["w", "c"], LARGE)
-        leaders = cut(fresh.groupBy("w", "c").agg(F.min(F.struct(*AT, "n", "bm1", "bm2")).alias("l")).select("w", "c", "l.*"))
+            large = cut(shared.join(_small(groups.where(F.col("members") >= LARGE).select("w", "c")), ["w", "c"])) if large is None else large
+            fresh = large.join(_small(settled), AT, "left_anti").join(_small(led), AT, "left_anti")
+        # members and least ids are numbers, which combine in the tasks; only rows with a group's least id are sorted for its leader
+        groups = fresh.groupBy("w", "c").agg(F.count(F.lit(1)).alias("members"), F.min("d").alias("d"))
+        groups = cut(groups.where(F.col("members") >= (LARGE if turn else HOT)))
+        first = fresh.join(_small(groups.drop("members")), ["w", "c", "d"])
+        leaders = cut(first.groupBy("w", "c").agg(F.min(F.struct(*AT, "n", "bm1", "bm2")).alias("l")).select("w", "c", "l.*"))
         if turn and leaders.isEmpty():
             break
         led = cut(leaders.select(*AT).distinct() if led is None else led.unionByName(leaders.select(*AT)).distinct())
