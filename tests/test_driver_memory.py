@@ -1,9 +1,9 @@
 """What the driver holds must not follow the tables: no plan carries a map, no table is broadcast by the size of its packed files."""
 from pyspark.sql import functions as F
 
-from decisionlake.operators import contains, graph
+from decisionlake.operators import contains, graph, resolve
 from decisionlake.operators import retrieval as rt
-from decisionlake.session import cut, cut_unpacked, unpacked
+from decisionlake.session import cut, cut_unpacked, listing, unpacked
 
 THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
 FACTOR = "spark.sql.sources.fileCompressionFactor"
@@ -51,3 +51,20 @@ def test_a_walk_reads_no_more_than_the_statuses(spark):
     r = spark.createDataFrame([("L", "ADR 0001", "Superseded by ADR 2"), ("L", "ADR 0002", "Accepted")], "lib string, rec_id string, status string")
     assert {(x.rec_id, x.endpoint, x.depth) for x in graph.resolve_current(r).collect()} == {("ADR 0001", "ADR 0002", 1), ("ADR 0002", "ADR 0002", 0)}
     assert [tuple(x) for x in graph.successors(r).collect()] == [("L", "ADR 0001", "ADR 0002")]
+
+
+def test_listed_files_are_not_kept(spark):
+    key = "spark.sql.hive.filesourcePartitionFileCacheSize"
+    before = spark.conf.get(key)
+    with listing(spark):
+        assert spark.conf.get(key) == "0"
+    assert spark.conf.get(key) == before
+
+
+def test_only_endpoints_are_told(spark):
+    rows = [("L", f"ADR {i:04}", "adr", f"t{i}", "Accepted", "2020-01-01", "", f"p{i}", "", "", f"word{i}", "") for i in range(4)]
+    names = "lib rec_id type title status date decided_originally path aliases supersedes field_text body"
+    lib = resolve.Library.of(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names.split())))
+    out = resolve.resolve_query(lib, spark.createDataFrame([("L", 1, "word2"), ("L", 2, "none such")], "lib string, query_id long, text string"))
+    assert {(r.query_id, r.endpoint, r.title) for r in out.collect()} == {(1, "ADR 0002", "t2"), (2, None, None)}
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
